@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import suffix
+from spindrift.llm import decontam, suffix
 from spindrift.llm.common import table
 
 
@@ -14,8 +14,32 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_winnowing_decontamination": op2_winnowing_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP2_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark),
+iw as (select distinct item_id, n, array_to_string(w[s + 1 : s + n], ' ') as g
+       from (select item_id, w, least(10, len(w)) as n, unnest(range(len(w) - least(10, len(w)) + 1)) as s from i where len(w) > 0)),
+dw as (select doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') as g
+       from (select doc_id, w, n, unnest(range(greatest(0, len(w) - n + 1))) as s from d cross join (select distinct n from iw))),
+m as (select dw.doc_id, dw.s, dw.n, iw.item_id from dw join iw using (n, g)),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from m) group by doc_id),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_winnowing_decontamination": OP2_SQL,
+}
