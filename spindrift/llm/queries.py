@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import decontam, langid, licenses, secrets, simhash, suffix
+from spindrift.llm import decontam, langid, licenses, packing, secrets, simhash, suffix, tokens
 from spindrift.llm.common import table
 
 
@@ -34,6 +34,14 @@ def op10_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("all")
 
 
+def op6_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_diagonals": op3_license_diagonals,
     "op9_naive_bayes_language": op9_naive_bayes_language,
     "op10_secret_randomness": op10_secret_randomness,
+    "op6_simple8b_tokens": op6_simple8b_tokens,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
