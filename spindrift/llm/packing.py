@@ -129,7 +129,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     runs = spark.createDataFrame(plan(histogram, capacity), "size long, r0 long, n long, s0 long, each long, at long")
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     before = counts.select("part", "length", (F.sum("n").over(w) - F.col("n")).alias("before"))
-    ranked = cut.join(before, ["part", "length"]).withColumn("r", F.col("rank") + F.col("before"))
+    ranked = cut.join(before.hint("merge"), ["part", "length"]).withColumn("r", F.col("rank") + F.col("before"))
     # runs follow from the histogram alone: their number does not grow with the corpus
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("size")) & (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r0") + F.col("n")))
     k = F.col("r") - F.col("r0")
