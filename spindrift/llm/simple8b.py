@@ -24,13 +24,16 @@ MAGIC = 0x31423853
 def _plan(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and selector of each word: as many ids as fit, from the left."""
     n = len(wide)
-    take = np.ones(n, dtype=np.int64)
+    wide = np.concatenate((wide, np.ones(FIELDS[0], dtype=wide.dtype)))  # past the last id, fields stay empty
+    take = np.full(n, 60 // ESCAPE_BITS, dtype=np.int32)
     for fields, bits in zip(FIELDS[::-1], BITS[::-1], strict=True):
-        if bits > ESCAPE_BITS:
-            continue
-        bad = np.concatenate(([0], np.cumsum(wide > bits)))
-        end = np.minimum(np.arange(n) + fields, n)  # past the last id, fields stay empty
-        take[bad[end] == bad[:-1]] = fields
+        if bits < ESCAPE_BITS:
+            bad = np.zeros(n + fields + 1, dtype=np.int32)
+            np.cumsum(wide[: n + fields] > bits, out=bad[1:])
+            fits = bad[fields : n + fields] == bad[:n]
+            if not fits.any():
+                break  # nor do more fields of fewer bits
+            take[fits] = fields
     step, starts, i = take.tolist(), [], 0
     while i < n:
         starts.append(i)
@@ -43,8 +46,7 @@ def pack(ids: np.ndarray) -> bytes:
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     beyond = ids >= ESCAPE
     small = np.where(beyond, ESCAPE, ids).astype(np.uint64)
-    wide = np.frexp(small.astype(np.float64))[1]
-    wide[wide < 1] = 1
+    wide = np.maximum(np.frexp(small.astype(np.float32))[1], 1)
     starts, takes = _plan(wide)
     words = np.zeros(len(starts), dtype=np.uint64)
     padded = np.concatenate((small, np.zeros(60, dtype=np.uint64)))
