@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import decontam, langid, licenses, packing, secrets, simhash, suffix, tokens
+from spindrift.llm import crosspoly, decontam, langid, licenses, packing, secrets, simhash, suffix, tokens
 from spindrift.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_cross_polytope_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_randomness": op10_secret_randomness,
     "op6_simple8b_tokens": op6_simple8b_tokens,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op5_cross_polytope_links": op5_cross_polytope_links,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
