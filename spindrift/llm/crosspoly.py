@@ -11,6 +11,7 @@ being listed. Equal vectors are one point with a count.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,15 @@ def shape(vectors: int, dim: int) -> tuple[int, int]:
     return hashes, 10 * 2 ** (hashes - 2)
 
 
-def _rotate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def _signs(seed: int, table: int, hash_: int, d: int) -> np.ndarray:
+    return np.random.default_rng([seed, table, hash_, d]).choice((-1.0, 1.0), (3, d))
+
+
+def _rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     n, d = x.shape
-    for _ in range(3):
-        x = x * rng.choice((-1.0, 1.0), d)
+    for s in signs:
+        x = x * s
         h = 1
         while h < d:
             x = x.reshape(n, -1, 2, h)
@@ -54,7 +60,7 @@ def bucket_keys(x: np.ndarray, hashes: int, tables: int, seed: int = 7) -> np.nd
     for t in range(tables):
         best, second = [], []
         for k in range(hashes):
-            y = _rotate(wide, np.random.default_rng([seed, t, k, d]))
+            y = _rotate(wide, _signs(seed, t, k, d))
             size = np.abs(y)
             for to in (best, second):
                 at = size.argmax(axis=1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import crosspoly, decontam, langid, licenses, packing, secrets, simhash, suffix, tokens
+from spindrift.llm import crosspoly, decontam, langid, licenses, packing, secrets, simhash, suffix, tokens, warc
 from spindrift.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op5_cross_polytope_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simple8b_tokens": op6_simple8b_tokens,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op5_cross_polytope_links": op5_cross_polytope_links,
+    "op8_warc_salvage": op8_warc_salvage,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
