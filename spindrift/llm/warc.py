@@ -265,8 +265,8 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, with_paylo
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    # a task for every few archives: dealt by path, since the list itself is one small file
-    return files.select("path").repartition("path").mapInArrow(run, RECORDS)
+    # the list is one small file, which Spark would read in one task: an archive a task instead
+    return files.select("path").repartition(max(1, min(files.count(), 20_000)), "path").mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
