@@ -1,4 +1,4 @@
-"""Registry of the engine's queries and their SQL equivalents."""
+"""All queries of the engine, by module."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from spindrift.plans import scalars  # noqa: F401
+from spindrift.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
