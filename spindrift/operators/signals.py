@@ -117,7 +117,7 @@ def overlap_add(blocks: DataFrame, keys: list[str], order: str, samples: str) ->
 
 
 def place(blocks: DataFrame, keys: list[str], order: str, length: str, granule: str, eos: str) -> DataFrame:
-    """Start and kept length of each block of a stream.
+    """Position, samples cut in front (skip) and samples kept of each block of a stream.
 
     Blocks wait for the packet that has a granule position or ends the stream. The first
     such page, unless it also ends the stream, anchors the time axis: it starts at its
@@ -135,7 +135,7 @@ def place(blocks: DataFrame, keys: list[str], order: str, length: str, granule:
     paged = paged.withColumn("base", F.coalesce(anchor, F.lit(0))).withColumn("start", F.col("raw") + F.col("base")).withColumn("end", F.col("start") + F.col(length))
     stop = F.when(F.col("last") & F.col("g").isNotNull(), F.least(F.col("end"), F.col("g"))).otherwise(F.col("end"))
     out = paged.withColumn("from", F.greatest(F.col("start"), F.lit(0))).withColumn("kept", F.greatest(stop - F.col("from"), F.lit(0)))
-    return out.select(*keys, order, "page", F.col("from").cast("long").alias("position"), F.col("kept").cast("long").alias("kept"))
+    return out.select(*keys, order, "page", F.col("from").cast("long").alias("position"), (F.col("from") - F.col("start")).cast("long").alias("skip"), F.col("kept").cast("long").alias("kept"))
 
 
 def segment_energy(signal: DataFrame, key: str, segment: int = 64) -> DataFrame:
