@@ -100,14 +100,14 @@ class Packet:
     eos: bool = False
 
 
-def read_packets(pages: Iterable[Page], strict: bool = False, counts: dict[str, int] | None = None) -> Iterator[Packet]:
+def read_packets(pages: Iterable[Page], strict: bool = False, counts: dict[str, int] | None = None, parts: dict[int, bytes | None] | None = None, due: dict[int, int] | None = None) -> Iterator[Packet]:
     """Packets in order of their last page. Only the last that ends on a page has its
     granule. A gap in a stream's page numbers drops the packet in progress; an ending
-    page on which no packet ends gives an empty one."""
+    page on which no packet ends gives an empty one. parts and due, by stream, are the
+    packet in progress and the next page number; a caller that keeps them can go on later."""
     counts = {} if counts is None else counts
     counts.setdefault("lost", 0)
-    parts: dict[int, bytes | None] = {}
-    due: dict[int, int] = {}
+    parts, due = {} if parts is None else parts, {} if due is None else due
 
     def lose(why: str) -> None:
         if strict:
