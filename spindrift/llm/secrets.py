@@ -128,13 +128,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     w = Window.partitionBy("size", "len")
     tail = counts.withColumn("below", F.sum("n").over(w.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("m", F.sum("n").over(w))
     cut = tail.where(F.col("m") * F.pow(F.lit(10.0), -F.col("step") / 10) <= q * F.col("below")).groupBy("size", "len").agg(F.min("step").alias("cut"))
-    cuts = cut.agg(F.collect_list(F.struct("size", "len", "cut")).alias("cuts"))  # one row for each alphabet and power of two
-    judged = src.join(F.broadcast(cuts))
-    random = F.filter("cand", lambda x: ~F.exists("cuts", lambda c: (c["size"] == x["size"]) & (c["len"] == x["len"]) & (x["step"] >= c["cut"])))
+    cuts = {(r["size"], r["len"]): r["cut"] for r in cut.collect()}  # at most one for each alphabet and power of two
+
+    def structured(x: Column) -> Column:
+        found = F.lit(False)
+        for (size, n), step in cuts.items():
+            found = found | ((x["size"] == size) & (x["len"] == n) & (x["step"] >= step))
+        return found
+
+    random = F.filter("cand", lambda x: ~structured(x))
     random = _of_kind(random, 3)
     label = F.array(*map(F.lit, KINDS))
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(label, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    out = judged.withColumn("all", F.array_sort(F.concat("base", random)).cast(_SPANS))
+    out = src.withColumn("all", F.array_sort(F.concat("base", random)).cast(_SPANS))
     n = [F.size(F.array_remove(F.col("base.k"), k)).cast("long") for k in range(3)]
     n = [(F.size("base") - n[k]).alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *n, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.col("all")).alias("spans"), "all", *(["row"] if carry else []))
