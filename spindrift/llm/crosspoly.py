@@ -96,10 +96,10 @@ def _keys(hashes: int, tables: int):
 
 def linked(x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, key: int, least: float, hashes: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of linked pairs, left x right, whose first common bucket is key."""
-    sims = x[left] @ x[right].T
-    i, j = np.nonzero(np.triu(sims >= least, 1) if same else sims >= least)
-    if not len(i):
-        return i, j
+    near = x[left] @ x[right].T >= least
+    if same and near.sum() == len(left) or not near.any():  # none but each with itself
+        return left[:0], left[:0]
+    i, j = np.nonzero(np.triu(near, 1) if same else near)
     i, j = left[i], right[j]
     on, at = np.unique(np.concatenate((i, j)), return_inverse=True)
     keys = bucket_keys(x[on], hashes, tables).reshape(len(on), tables, -1)
@@ -121,18 +121,15 @@ def linked(x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, key:
 def _compare(least: float, hashes: int, tables: int):
     names = ["node", "root", "links"]
 
-    def settle(group: list) -> pa.RecordBatch | None:
-        key, b1, b2 = group[0][:3]
-        if len({len(g[6]) for g in group}) > 1:  # keys of two lengths have met
-            group = [g for g in group if len(g[6]) == len(group[0][6])]
-        x = _unit([g[6] for g in group])
-        blk = np.array([g[3] for g in group])
+    def settle(head: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
+        """head: key, b1, b2, blk, node and c of a group's rows; x: their unit vectors."""
+        key, b1, b2 = head[0, :3].tolist()
+        blk, node, c = head[:, 3], head[:, 4], head[:, 5]
         left, right = np.flatnonzero(blk == b1), np.flatnonzero(blk == b2)
         i, j = linked(x, left, right, b1 == b2, key, least, hashes, tables)
         if not len(i):
             return None
-        node, c = (np.array([g[k] for g in group], dtype=np.int64) for k in (4, 5))
-        links = np.bincount(i, c[j], len(group)) + np.bincount(j, c[i], len(group))
+        links = np.bincount(i, c[j], len(node)) + np.bincount(j, c[i], len(node))
         root = node.copy()
         while True:
             low = np.minimum(root[i], root[j])
@@ -145,17 +142,32 @@ def _compare(least: float, hashes: int, tables: int):
         on = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(root[on]), pa.array(links[on].astype(np.int64))], names=names)
 
-    def run(batches):
-        group: list = []
+    def groups(batches):
+        """(head, list of vectors) of one group after another; only one group is held over batches."""
+        head, vectors = np.zeros((0, 6), dtype=np.int64), []
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    if len(group) > 1 and (out := settle(group)):
-                        yield out
-                    group = []
-                group.append(row)
-        if len(group) > 1 and (out := settle(group)):
-            yield out
+            if not b.num_rows:
+                continue
+            flat, ends = b.column(6).flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column(6).value_lengths().to_numpy())
+            head = np.concatenate((head, np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(6)], axis=1)))
+            vectors += np.split(flat, ends[:-1])
+            cuts = (np.flatnonzero((head[1:, :3] != head[:-1, :3]).any(axis=1)) + 1).tolist()
+            for a, e in zip([0, *cuts], cuts, strict=False):
+                if e - a > 1:
+                    yield head[a:e], vectors[a:e]
+            if cuts:
+                head, vectors = head[cuts[-1] :], vectors[cuts[-1] :]
+        if len(head) > 1:
+            yield head, vectors
+
+    def run(batches):
+        for head, vectors in groups(batches):
+            n = len(vectors[0])
+            if any(len(v) != n for v in vectors):  # keys of two lengths have met
+                own = [k for k, v in enumerate(vectors) if len(v) == n]
+                head, vectors = head[own], [vectors[k] for k in own]
+            if (out := settle(head, _unit(vectors))) is not None:
+                yield out
 
     return run, "node long, root long, links long"
 
