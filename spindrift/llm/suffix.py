@@ -27,7 +27,7 @@ from spindrift.llm.common import written
 
 #: Distinct segments of one anchor hash that one task sorts; beyond, see _hot().
 GROUP_LIMIT = 32768
-_PIECE = 1 << 23
+_PIECE, _ROWS = 1 << 23, 50_000
 
 
 @lru_cache(maxsize=1)
@@ -246,14 +246,16 @@ def _find_segments(length: int, gram: int):
             for did, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode()
                 a, lo, hi, key = segments(data, length, gram)
-                if len(a):
-                    digest = xxhash.xxh3_128_digest
-                    cols = ([did] * len(a), [th] * len(a), a, lo, hi, key, [digest(data[x:y]) for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True)])
+                digest = xxhash.xxh3_128_digest
+                for at in range(0, len(a), _ROWS):  # a periodic text has an anchor at every place
+                    own = slice(at, at + _ROWS)
+                    n = len(a[own])
+                    cols = ([did] * n, [th] * n, a[own], lo[own], hi[own], key[own], [digest(data[x:y]) for x, y in zip(lo[own].tolist(), (hi[own] + length).tolist(), strict=True)])
                     for o, c in zip(out, cols, strict=True):
                         o.extend(c)
-                if len(out[0]) > 50_000:
-                    yield _rows(schema, *out)
-                    out = [[] for _ in schema]
+                    if len(out[0]) >= _ROWS:
+                        yield _rows(schema, *out)
+                        out = [[] for _ in schema]
             if out[0]:
                 yield _rows(schema, *out)
 

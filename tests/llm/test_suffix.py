@@ -70,3 +70,9 @@ def test_sort_gives_order_and_prefixes():
         while n < min(len(a), len(b)) and a[n] == b[n]:
             n += 1
         assert lcps[k] == n
+
+
+def test_long_periodic_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "_ROWS", 100)
+    df = spark.createDataFrame([(1, "ab" * 3000), (2, "x")], "doc_id long, text string")
+    assert sorted(r[:4] for r in suffix.dedup_substrings(df, length=40, gram=8).collect()) == [(1, 6000, 6000, 1), (2, 1, 0, 0)]
