@@ -41,7 +41,7 @@ def _same(a: Column, b: Column) -> Column:
 def benchmark_fingerprints(items: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
     """(h, k, item_id, mid, left, right): the kept hashes of all items with the words around them."""
     src = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("ws"))
-    src = src.where(F.size("ws") > 0).withColumn("ws", F.col("ws"))
+    src = src.where(F.size("ws") > 0)
     side = length - gram
     hashes = gram_hashes(F.col("ws"), gram)
     long_ = let(hashes, lambda h: F.transform(F.filter(upto(F.lit(1), F.size(h)), lambda i: _kept(h, i, side + 1)), lambda i: F.struct(F.element_at(h, i).alias("h"), F.lit(gram).alias("k"), *_around(F.col("ws"), i, gram, side))))
