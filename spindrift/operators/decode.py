@@ -10,26 +10,27 @@ from spindrift.functions import audio
 from spindrift.functions.codebook import Invalid
 from spindrift.operators import signals
 
-BLOCKS = "source string, serial long, packet long, granule long, eos boolean, rate long, chan int, samples array<float>"
+BLOCKS = "source string, link int, serial long, packet long, granule long, eos boolean, rate long, chan int, samples array<float>"
 
 
 def stream_headers(packets: DataFrame) -> DataFrame:
-    """(source, serial, identification, setup) of the streams that begin with this codec's header."""
-    first = packets.where("packet < 3").groupBy("source", "serial").agg(
+    """(source, link, serial, identification, setup) of the streams that begin with this codec's header."""
+    first = packets.where("packet < 3").groupBy("source", "link", "serial").agg(
         F.max(F.when(F.col("packet") == 0, F.col("data"))).alias("identification"), F.max(F.when(F.col("packet") == 1, F.col("data"))).alias("comment"), F.max(F.when(F.col("packet") == 2, F.col("data"))).alias("setup")
     )
     return first.where(F.substring("identification", 1, 7) == F.lit(b"\1" + audio.MAGIC))
 
 
 def decode_blocks(packets: DataFrame, strict: bool = False) -> DataFrame:
-    """BLOCKS: a row per audio packet and channel. Setup is parsed once per worker and stream."""
+    """BLOCKS: a row per audio packet and channel. Setup is parsed once per worker and
+    stream. Packets may have the column link (from files.linked), else a stream is one."""
     names = [c.split()[0] for c in BLOCKS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.float32())]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.float32())]
 
     def run(batches):
         for b in batches:
             rows = []
-            for source, serial, packet, granule, eos, data, ident, setup in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            for source, link, serial, packet, granule, eos, data, ident, setup in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
                 try:
                     own = audio.headers(bytes(ident), bytes(setup))
                 except (Invalid, TypeError):
@@ -41,20 +42,22 @@ def decode_blocks(packets: DataFrame, strict: bool = False) -> DataFrame:
                     if strict and data:
                         raise Invalid(f"packet {packet} of stream {serial} is no audio")
                     block = [None] * own[0].channels  # keeps the packet's place on the page
-                rows += [(source, serial, packet, granule, eos, own[0].rate, c, x) for c, x in enumerate(block)]
+                rows += [(source, link, serial, packet, granule, eos, own[0].rate, c, x) for c, x in enumerate(block)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    own = packets.join(stream_headers(packets).select("source", "serial", "identification", "setup"), ["source", "serial"]).where("packet >= 3")
-    return own.select("source", "serial", "packet", "granule", "eos", "data", "identification", "setup").mapInArrow(run, BLOCKS)
+    if "link" not in packets.columns:
+        packets = packets.withColumn("link", F.lit(0))
+    own = packets.join(stream_headers(packets).select("source", "link", "serial", "identification", "setup"), ["source", "link", "serial"]).where("packet >= 3")
+    return own.select("source", "link", "serial", "packet", "granule", "eos", "data", "identification", "setup").mapInArrow(run, BLOCKS)
 
 
 def decode(packets: DataFrame, strict: bool = False) -> DataFrame:
-    """(source, serial, chan, packet, rate, position, samples): PCM in its place on the
+    """(source, link, serial, chan, packet, rate, position, samples): PCM in its place on the
     time axis. Packets that aren't audio leave the overlap as it was; granule positions
     anchor the first page and cut the last."""
     blocks = decode_blocks(packets, strict)
-    keys = ["source", "serial", "chan"]
+    keys = ["source", "link", "serial", "chan"]
     pcm = signals.overlap_add(blocks.where("samples is not null"), keys, "packet", "samples")
     held = blocks.select(*keys, "packet", "granule", "eos", "rate").join(pcm, [*keys, "packet"], "left").withColumn("n", F.coalesce(F.size("samples"), F.lit(0)))
     held = held.withColumn("n", F.greatest("n", F.lit(0)))

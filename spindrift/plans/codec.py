@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.encoder import Config
 from spindrift.operators import decode as D
 from spindrift.operators import encode as E
-from spindrift.plans.registry import SIGNAL, packets, query, signal
+from spindrift.plans.registry import SIGNAL, load, query, signal
 from spindrift.sources import ogg
 
 
-@query("select source as serial, row_number() over (partition by source order by doc_id) - 1 as packet, sha256(substring(text, 1, 200)) as digest from documents")
+@query("select cast(doc_id as varchar) as source, unnest(range(len(p))) as packet, sha256(unnest(p)) as digest from (select doc_id, string_split(text, ' ') as p from documents)")
 def a3_ogg_round_trip(spark, sf):
-    """Packets to pages, pages to files, and back."""
-    w = Window.partitionBy("serial").orderBy("doc_id")
-    rows = packets(spark, sf).select(F.col("serial").alias("source"), F.lit(1).cast("long").alias("serial"), (F.row_number().over(w) - 1).cast("long").alias("packet"), F.lit(0).cast("long").alias("granule"), F.lit(False).alias("flush"), "data")
+    """A stream for each document, its words as packets: to pages, to files, and back."""
+    words = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit(1).cast("long").alias("serial"), F.posexplode(F.split("text", " ", -1)).alias("packet", "word"))
+    rows = words.select("source", "serial", F.col("packet").cast("long").alias("packet"), F.lit(0).cast("long").alias("granule"), F.lit(False).alias("flush"), F.encode("word", "utf-8").alias("data"))
     pages = ogg.paginate(rows, 1000)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "content"))), lambda p: F.hex(p["content"])), "")
     files = pages.groupBy("source").agg(F.unhex(joined).alias("content"))
     found = ogg.packets_of(ogg.pages_of(files, strict=True), strict=True)
-    return found.select(F.col("source").alias("serial"), "packet", F.sha2("data", 256).alias("digest"))
+    return found.select("source", "packet", F.sha2("data", 256).alias("digest"))
 
 
 def _streams(spark, sf):

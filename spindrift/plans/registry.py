@@ -49,12 +49,11 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets from documents: size in bytes of the first 200 characters, by source as stream."""
-    text = F.substring("text", 1, 200)
-    return load(spark, sf_dir, "documents").select(F.col("source").alias("serial"), "doc_id", F.octet_length(F.encode(text, "utf-8")).cast("long").alias("size"), F.encode(text, "utf-8").alias("data"))
+    """A packet for each document, its whole text in UTF-8, by source as stream."""
+    return load(spark, sf_dir, "documents").select(F.col("source").alias("serial"), "doc_id", F.octet_length("text").cast("long").alias("size"), F.encode("text", "utf-8").alias("data"))
 
 
 PAIRS = "(select l_orderkey, l_linenumber, l_partkey, cast(l_linenumber - 4 as bigint) as l, l_partkey % 81 - 40 as r, l_orderkey * 7919 % 31185 - 15592 as q from lineitem)"
 SAMPLES = "(select vec_id, label, unnest(range(64)) as n, cast(unnest(embedding) as double) as x from embeddings)"
 SIGNAL = "(select event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as pos, value / 512 as v from events)"
-PACKETS = "(select source as serial, doc_id, cast(octet_length(encode(substring(text, 1, 200))) as bigint) as size from documents)"
+PACKETS = "(select source as serial, doc_id, cast(octet_length(encode(text)) as bigint) as size from documents)"

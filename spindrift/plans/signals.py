@@ -9,6 +9,7 @@ from spindrift.functions import scalar as S
 from spindrift.operators import signals as G
 from spindrift.plans.registry import PACKETS, PAIRS, SAMPLES, SIGNAL, blocks, int_pairs, load, packets, query, signal
 from spindrift.plans.scalars import _DB
+from spindrift.sources import ogg
 
 RATE, HALF = 44100, 32
 _WIN = "sin(pi() / 2 * pow(sin((least(n, 63 - n) + 0.5) / 32 * pi() / 2), 2))"
@@ -106,9 +107,11 @@ def h2_placement(spark, sf):
     return G.place(_paged(spark, sf), ["serial"], "doc_id", "size", "granule", "eos").select("serial", "doc_id", "position", "kept")
 
 
-@query(f"select event_type, pos - 100 as pos, v from {SIGNAL} where pos >= 100 and pos < 1000")
+@query(f"select event_type, pos - 100 as pos, v from (select *, count(*) over (partition by event_type) as n from {SIGNAL}) where pos >= 100 and pos < n - 50")
 def h3_trim(spark, sf):
-    return signal(spark, sf).where(F.col("pos").between(100, 999)).select("event_type", (F.col("pos") - 100).alias("pos"), "v")
+    """100 samples cut in front and 50 at the end of each stream."""
+    n = F.count("*").over(Window.partitionBy("event_type"))
+    return signal(spark, sf).withColumn("n", n).where((F.col("pos") >= 100) & (F.col("pos") < F.col("n") - 50)).select("event_type", (F.col("pos") - 100).alias("pos"), "v")
 
 
 @query(f"select cast(sum(granule) as bigint) as samples, count(*) as streams from (select serial, granule, row_number() over (partition by serial order by doc_id desc) as r from {_PAGED} where granule is not null) where r = 1")
@@ -117,9 +120,9 @@ def h6_declared_length(spark, sf):
     return last.agg(F.sum("g").cast("long").alias("samples"), F.count("*").alias("streams"))
 
 
-@query("select doc_id, cast(list_reduce(list_prepend(cast(0 as bigint), list_transform(range(1, 1 + octet_length(d)), lambda i: cast(('0x' || substr(hex(d), 2 * i - 1, 2)) as bigint))), lambda c, b: list_reduce([xor(c, b << 24), 1, 1, 1, 1, 1, 1, 1, 1], lambda a, t: case when a >= 2147483648 then xor(a * 2, 4374732215) else a * 2 end)) as bigint) as crc from (select doc_id, encode(substring(text, 1, 60)) as d from documents)")
+@query()
 def a4_page_crc(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", S.ogg_crc(F.encode(F.substring("text", 1, 60), "utf-8")).alias("crc"))
+    return ogg.checksums(packets(spark, sf), "doc_id", "data")
 
 
 @query(f"select serial, row_number() over (partition by serial order by doc_id) - 1 as packet, size from {PACKETS}")
@@ -146,11 +149,12 @@ def b2_lacing(spark, sf):
     return G.lacing(packets(spark, sf).select("doc_id", "size"), "size").select("doc_id", "place", "lace")
 
 
-@query(f"select t.event_type, cast(p as bigint) as pos, coalesce(v, 0) as v from (select distinct event_type from events) t cross join range(-10, 40) r(p) left join {SIGNAL} s on s.event_type = t.event_type and s.pos = p")
+@query(f"select t.event_type, cast(p as bigint) as pos, coalesce(v, 0) as v from (select event_type, unnest(range(-10, count(*) + 10)) as p from events group by 1) t left join {SIGNAL} s on s.event_type = t.event_type and s.pos = p")
 def i1_padded(spark, sf):
+    """Each whole signal with ten samples of silence on both sides."""
     s = signal(spark, sf)
-    grid = s.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(-10).cast("long"), F.lit(39).cast("long"))).alias("pos"))
-    return grid.join(s.where("pos < 40"), ["event_type", "pos"], "left").select("event_type", "pos", F.coalesce("v", F.lit(0.0)).alias("v"))
+    grid = s.groupBy("event_type").agg(F.max("pos").alias("last")).select("event_type", F.explode(F.sequence(F.lit(-10).cast("long"), F.col("last") + 10)).alias("pos"))
+    return grid.join(s, ["event_type", "pos"], "left").select("event_type", "pos", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 _ENERGY = f"(select event_type, pos // 64 as seg, sum(pow(v - coalesce(b, 0), 2)) as e from (select event_type, pos, v, lag(v) over (partition by event_type order by pos) as b from {SIGNAL}) group by 1, 2)"
@@ -281,6 +285,6 @@ def k7_discarded(spark, sf):
     return load(spark, sf, "documents").groupBy("source").agg(F.count_if(blocksize(b, [256, 2048]).isNull()).alias("discarded"))
 
 
-@query("select doc_id, sha256(substring(text, 1, 200)) as digest from documents")
+@query("select doc_id, sha256(text) as digest from documents")
 def k8_sha256(spark, sf):
     return packets(spark, sf).select("doc_id", F.sha2("data", 256).alias("digest"))

@@ -3,42 +3,36 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CONTINUED, BOS, EOS = 1, 2, 4
 NONE = -1  # granule position of a page on which no packet ends
 PAGES = "source string, page long, offset long, flags int, granule long, serial long, sequence long, lacing array<int>, body binary, skipped long, bad long"
-PACKETS = "source string, serial long, packet long, granule long, bos boolean, eos boolean, data binary, lost long"
+PACKETS = "source string, serial long, packet long, granule long, bos boolean, eos boolean, data binary, lost long, page long"
 
 
 class Damaged(ValueError):
     """Damage, in strict mode."""
 
 
-@lru_cache(maxsize=1)
-def _table() -> list[int]:
-    out = []
-    for b in range(256):
-        c = b << 24
-        for _ in range(8):
-            c = c << 1 ^ (0x104C11DB7 if c & 0x80000000 else 0)
-        out.append(c)
-    return out
+#: Each byte with its bits in the opposite order.
+_MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
 def crc(data: bytes) -> int:
-    table, c = _table(), 0
-    for b in data:
-        c = (c << 8 & 0xFFFFFFFF) ^ table[c >> 24 ^ b]
-    return c
+    """Checksum of polynomial 0x04c11db7, start 0, neither reflected nor inverted: zlib's,
+    which is both and starts at all ones, of the mirrored bytes, mirrored back."""
+    c = zlib.crc32(data.translate(_MIRROR), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int.from_bytes(c.to_bytes(4, "little").translate(_MIRROR), "big")
 
 
 @dataclass
@@ -50,6 +44,7 @@ class Page:
     lacing: bytes
     body: bytes
     offset: int = 0
+    place: int = 0
 
     def to_bytes(self) -> bytes:
         head = b"OggS" + struct.pack("<BBqIII", 0, self.flags, self.granule, self.serial, self.sequence, 0) + bytes([len(self.lacing)]) + self.lacing
@@ -98,6 +93,7 @@ class Packet:
     granule: int | None = None
     bos: bool = False
     eos: bool = False
+    page: int = 0  # place of the page it ends on
 
 
 def read_packets(pages: Iterable[Page], strict: bool = False, counts: dict[str, int] | None = None, parts: dict[int, bytes | None] | None = None, due: dict[int, int] | None = None) -> Iterator[Packet]:
@@ -143,7 +139,7 @@ def read_packets(pages: Iterable[Page], strict: bool = False, counts: dict[str,
                 begun, skip = None, False
         parts[p.serial] = None if skip else begun
         eos = bool(p.flags & EOS)
-        out = [Packet(d, p.serial) for d in done] or ([Packet(b"", p.serial)] if eos else [])
+        out = [Packet(d, p.serial, page=p.place) for d in done] or ([Packet(b"", p.serial, page=p.place)] if eos else [])
         if out:
             out[0].bos = bool(p.flags & BOS)
             out[-1].eos = eos
@@ -215,10 +211,10 @@ def packets_of(pages: DataFrame, strict: bool = False) -> DataFrame:
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("page")
         counts: dict[str, int] = {}
-        own = (Page(f, g, s, q, bytes(x.astype(np.uint8)), b) for f, g, s, q, x, b in zip(frame["flags"], frame["granule"], frame["serial"], frame["sequence"], map(np.asarray, frame["lacing"]), frame["body"], strict=True))
+        own = (Page(f, g, s, q, bytes(x.astype(np.uint8)), b, place=k) for f, g, s, q, x, b, k in zip(frame["flags"], frame["granule"], frame["serial"], frame["sequence"], map(np.asarray, frame["lacing"]), frame["body"], frame["page"], strict=True))
         rows, lost = [], 0
         for k, p in enumerate(read_packets(own, strict, counts)):
-            rows.append((*key, k, p.granule, p.bos, p.eos, p.data, counts["lost"] - lost))
+            rows.append((*key, k, p.granule, p.bos, p.eos, p.data, counts["lost"] - lost, p.page))
             lost = counts["lost"]
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PACKETS.split(", ")])
         out["granule"] = out["granule"].astype("Int64")
@@ -227,6 +223,18 @@ def packets_of(pages: DataFrame, strict: bool = False) -> DataFrame:
     return pages.groupBy("source", "serial").applyInPandas(run, PACKETS)
 
 
+def checksums(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, crc) of a binary column; null for null."""
+    schema = StructType([df.schema[key], *StructType().add("crc", "long").fields])
+
+    def run(batches):
+        for b in batches:
+            found = [None if x is None else crc(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=[key, "crc"])
+
+    return df.select(key, data).mapInArrow(run, schema)
+
+
 def paginate(packets: DataFrame, target: int = 4096) -> DataFrame:
     """(source, serial, page, content): pages of (source, serial, packet, granule, flush, data), a stream a task."""
 

@@ -26,10 +26,10 @@ def stream_packets(pages: DataFrame, strict: bool = False) -> DataFrame:
         dues = {} if due is None else {serial: due}
         frame = pd.concat(list(frames)).sort_values("page")
         counts: dict[str, int] = {}
-        own = (Page(f, g, s, q, bytes(np.asarray(x).astype(np.uint8)), bytes(b)) for f, g, s, q, x, b in zip(frame["flags"], frame["granule"], frame["serial"], frame["sequence"], frame["lacing"], frame["body"], strict=True))
+        own = (Page(f, g, s, q, bytes(np.asarray(x).astype(np.uint8)), bytes(b), place=k) for f, g, s, q, x, b, k in zip(frame["flags"], frame["granule"], frame["serial"], frame["sequence"], frame["lacing"], frame["body"], frame["page"], strict=True))
         rows, lost = [], 0
         for p in read_packets(own, strict, counts, parts, dues):
-            rows.append((*key, packet, p.granule, p.bos, p.eos, p.data, counts["lost"] - lost))
+            rows.append((*key, packet, p.granule, p.bos, p.eos, p.data, counts["lost"] - lost, p.page))
             packet, lost = packet + 1, counts["lost"]
         if int(frame["flags"].iloc[-1]) & EOS:
             state.remove()

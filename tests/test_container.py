@@ -118,3 +118,18 @@ def test_frames(spark, tmp_path):
         (tmp_path / f"{serial}.ogg").write_bytes(raw)
     back = ogg.packets_of(ogg.ogg_pages(spark, str(tmp_path), "FAILFAST"), strict=True).collect()
     assert sorted((r.serial, r.packet, bytes(r.data)) for r in back) == sorted((r[1], r[2], r[5]) for r in rows)
+
+
+def test_checksums_equal_their_definition(spark):
+    def slow(data):
+        c = 0
+        for b in data:
+            c ^= b << 24
+            for _ in range(8):
+                c = c << 1 ^ (0x104C11DB7 if c & 0x80000000 else 0)
+        return c
+
+    r = random.Random(4)
+    rows = [(i, bytearray(r.randbytes(r.randrange(700)))) for i in range(40)] + [(40, bytearray()), (41, None)]
+    got = {x.doc_id: x.crc for x in ogg.checksums(spark.createDataFrame(rows, "doc_id long, data binary"), "doc_id", "data").collect()}
+    assert got == {i: None if d is None else slow(d) for i, d in rows}
