@@ -7,18 +7,28 @@ class EndOfPacket(Exception):
     """A read went past the last bit; the reader stays at its end."""
 
 
+#: Bytes that a reader and a writer hold as an integer, so that long packets cost no more per bit.
+_SPAN = 256
+
+
 class BitReader:
-    """Reads a packet as one integer. Once past the end, every read fails, even of 0 bits."""
+    """Reads a packet. Once past the end, every read fails, even of 0 bits."""
 
     def __init__(self, data: bytes):
-        self.value, self.size, self.at, self.ended = int.from_bytes(data, "little"), 8 * len(data), 0, False
+        self.data, self.size, self.at, self.ended = data, 8 * len(data), 0, False
+        self.base, self.value = 0, int.from_bytes(data[:_SPAN], "little")
 
     def remaining(self) -> int:
         return 0 if self.ended else self.size - self.at
 
     def peek(self, n: int) -> int:
         """The next n bits; what lies past the end is 0."""
-        return self.value >> self.at & (1 << n) - 1
+        off = self.at - self.base
+        if off + n > 8 * _SPAN:
+            first = self.at >> 3
+            self.base, self.value = first << 3, int.from_bytes(self.data[first : first + _SPAN], "little")
+            off = self.at - self.base
+        return self.value >> off & (1 << n) - 1
 
     def skip(self, n: int) -> None:
         if self.ended or self.at + n > self.size:
@@ -27,9 +37,12 @@ class BitReader:
         self.at += n
 
     def read(self, n: int) -> int:
-        at = self.at
-        self.skip(n)
-        return self.value >> at & (1 << n) - 1
+        if self.ended or self.at + n > self.size:
+            self.ended = True
+            raise EndOfPacket
+        out = self.peek(n)
+        self.at += n
+        return out
 
     def flag(self) -> bool:
         return self.read(1) == 1
@@ -37,18 +50,23 @@ class BitReader:
 
 class BitWriter:
     def __init__(self):
-        self.value, self.size = 0, 0
+        self.done, self.value, self.size = bytearray(), 0, 0
 
     def write(self, value: int, n: int) -> None:
         self.value |= (value & (1 << n) - 1) << self.size
         self.size += n
+        if self.size >= 8 * _SPAN:
+            whole = self.size >> 3
+            self.done += (self.value & (1 << 8 * whole) - 1).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.size &= 7
 
     def codeword(self, code: int, n: int) -> None:
         """A Huffman codeword, its first bit first."""
         self.write(int(f"{code:0{n}b}"[::-1], 2) if n else 0, n)
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.size + 7) // 8, "little")
+        return bytes(self.done) + self.value.to_bytes((self.size + 7) // 8, "little")
 
 
 def ilog(x: int) -> int:

@@ -33,6 +33,15 @@ def inverse(spectra: np.ndarray) -> np.ndarray:
     return (turned * np.exp(1j * np.pi * (np.arange(n) + shift) / n)).real
 
 
+def dct4(x: np.ndarray) -> np.ndarray:
+    """sum x[n] cos(pi/N (n + 1/2)(k + 1/2)) of each row."""
+    n = x.shape[1]
+    k = np.arange(n)
+    wide = np.zeros((len(x), 2 * n), dtype=complex)
+    wide[:, :n] = x * np.exp(-0.5j * np.pi * k / n)
+    return (np.fft.fft(wide, axis=1)[:, :n] * np.exp(-0.5j * np.pi * (k + 0.5) / n)).real
+
+
 def window(n: int, left: int, right: int) -> np.ndarray:
     """Window of a block whose neighbours' sizes, cut to its own, are left and right."""
     i = np.arange(n)

@@ -156,8 +156,8 @@ def c22_scrub(spark, sf):
     return int_pairs(spark, sf).select("l_orderkey", "l_linenumber", S.scrub(v).alias("v"))
 
 
-@query(f"""select l_orderkey, l_linenumber, cast(d as int) as d, 0.5 + 2.0 * (case ((l_partkey % 81) // cast(pow(3, d) as bigint)) % 3 when 0 then 0 when 1 then 1 else 3 end) as plain,
-0.5 * (d + 1) + 2.0 * sum(case ((l_partkey % 81) // cast(pow(3, d) as bigint)) % 3 when 0 then 0 when 1 then 1 else 3 end) over (partition by l_orderkey, l_linenumber, l_partkey, rid order by d) as seq
+@query(f"""select l_orderkey, l_linenumber, cast(d as int) as d, cast(0.5 + 2.0 * (case ((l_partkey % 81) // cast(pow(3, d) as bigint)) % 3 when 0 then 0 when 1 then 1 else 3 end) as double) as plain,
+cast(0.5 * (d + 1) + 2.0 * sum(case ((l_partkey % 81) // cast(pow(3, d) as bigint)) % 3 when 0 then 0 when 1 then 1 else 3 end) over (partition by l_orderkey, l_linenumber, l_partkey, rid order by d) as double) as seq
 from (select *, row_number() over () as rid from {PAIRS}), range(4) t(d)""")
 def e3_vq_vector(spark, sf):
     entry = F.col("l_partkey") % 81

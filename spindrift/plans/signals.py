@@ -61,7 +61,7 @@ def g6_window(spark, sf):
     return x.withColumn("w", _r(S.window(F.col("i"), F.col("n"), F.col("prev"), F.col("following"))))
 
 
-@query(f"select vec_id, cast(n as int) as i, round(case when vec_id % 7 = 0 then 0.0 else x * {_DB.format(y='(n * 3 % 256)')} end, 9) as v from {SAMPLES}")
+@query(f"select vec_id, cast(n as int) as i, round(case when vec_id % 7 = 0 then 0.0 else x * {_DB.format(y='(n * 3 % 256)')} end, 9) + 0.0 as v from {SAMPLES}")
 def g7_floor_residue(spark, sf):
     curve = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda n: S.inverse_db(n * 3 % 256))
     product = F.zip_with("embedding", curve, lambda x, y: F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(x.cast("double") * y))
