@@ -7,7 +7,7 @@ but the last return the columns of documents, and stay whole-table at any size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, langid, packing, secrets, simhash
@@ -23,18 +23,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*cols)
 
 
+def _text_key() -> Column:
+    """Names a row's text: what a stage decides by text holds for the row whatever its id."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, one row of
-    it where rows repeat, and every document whose id is null."""
-    groups = simhash.simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    it where rows repeat or texts of the group share that id, and every document whose
+    id is null. Texts of other groups with the same id are documents of their own."""
+    keyed = docs.withColumn("__text", _text_key())
+    groups = simhash.simhash_groups(keyed, carry=("__text",)).where("doc_id is not null")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "__text")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("kept"), F.col("first.__text").alias("kept_text"))
     unknown = docs.where("doc_id is null")
-    return docs.join(groups, F.col("doc_id") == F.col("kept")).drop("kept").dropDuplicates(["doc_id"]).unionByName(unknown)
+    single = keyed.join(kept, (F.col("doc_id") == F.col("kept")) & (F.col("__text") == F.col("kept_text"))).drop("kept", "kept_text")
+    return single.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(unknown)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    """Drops documents that hold a window of a benchmark item, each by its own text."""
+    keyed = docs.withColumn("__text", _text_key())
+    hit = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="__text").where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
+    return keyed.join(hit, F.col("__text") == F.col("hit"), "left_anti").drop("__text")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spindrift.llm.common import components, written
 
@@ -48,15 +49,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): signed 64-bit fingerprints of whole texts."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): signed 64-bit fingerprints of whole texts, and the columns ``carry``."""
+    schema = StructType([*StructType().add("doc_id", "long").add("fp", "long").fields, *(docs.schema[c] for c in carry)])
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry).mapInArrow(run, schema)
 
 
 def _embed(fp: Column) -> Column:
@@ -93,7 +95,7 @@ def links(fps: DataFrame, bits: int = BITS, cell_limit: int = CELL_LIMIT) -> Dat
     return pairs.union(star)
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, cell_limit: int = CELL_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups documents whose fingerprints are linked, directly or through others,
     by differing in at most ``bits`` bits.
 
@@ -101,13 +103,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group), one row per input row, repeated rows included. Null, empty and blank
     texts have fingerprint zero, which links like any other; texts under ``shingle``
     words are one shingle; a null id is kept and gets its group's smallest id, null
-    if there is none. Other columns are ignored.
+    if there is none. Other columns are ignored; those in ``carry`` are returned as
+    well, with group, a fingerprint that no other group has (ids may be shared).
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    prints = written(fingerprints(docs, id_col, text_col, shingle, carry), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(distinct.select("fp"), bits, cell_limit)
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = rooted.join(least, "root").select("fp", "component_id", "root")
+    more = [*carry, F.col("root").alias("group")] if carry else []
+    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)

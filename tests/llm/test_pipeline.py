@@ -63,3 +63,20 @@ def test_empty(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.collect() == []
+
+
+def test_stages_decide_by_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 12)
+    a, b, c = ("river stone %s walks under seven old bridges" % w for w in ("amber", "cobalt", "violet"))
+    data = [(None, leak, 1), (None, a, 2), (None, b, 3), (5, leak, 4), (5, c, 5), (6, a, 6)]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in data], docs.schema)
+    clean = dict(pipeline.STAGES)["benchmark decontamination"](spark, df, SF)
+    assert clean.columns == docs.columns
+    assert sorted(r.n_chars for r in clean.collect()) == [2, 3, 5, 6]
+    # texts a, b and c are groups of their own: id 5 has c twice and b, id 3 has b, and null has c
+    data = [(5, c, 1), (5, c, 1), (5, b, 2), (3, b, 3), (3, a, 4), (7, a, 5), (None, c, 6)]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in data], docs.schema).repartition(3)
+    single = dict(pipeline.STAGES)["SimHash near-dedup"](spark, df, SF)
+    assert single.columns == docs.columns
+    assert sorted(r.n_chars for r in single.collect()) == [1, 3, 4, 6]
