@@ -99,7 +99,9 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 
 def number(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+    """The 64-bit integer that the text is; null if it isn't one."""
+    n = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 class _File:

@@ -109,3 +109,14 @@ def test_damage_never_raises_or_loses_whole_records(compress, monkeypatch):
         assert set(ids(found)) >= set(whole)
     assert read(b"") == []
     assert [x.kind for x in read(b"\x00" * 500)] == ["gap"]
+
+
+def test_ids_of_64_bits(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    for n in (low, high, 10**18, 10**18 - 1, -(10**18), 0):
+        assert warc.number(str(n)) == n
+    for text in (str(high + 1), str(low - 1), "9" * 19, "9" * 20, "", None, "1.0", "x"):
+        assert warc.number(text) is None
+    rows = [(high, "u", "same"), (10**18, "u", "same"), (low, "u", "own")]
+    got = {(x.page_id, x.record_type, x.refers_to) for x in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(high, "response", None), (10**18, "revisit", high), (low, "response", None)}
