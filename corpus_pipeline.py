@@ -15,11 +15,11 @@ from spindrift.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: a null text, or no letter in it."""
+    """Drops documents without a language: a null text, or no letter in it. Which language
+    it is decides nothing. Learns from all labelled rows; without any, letters decide alone."""
     cols = docs.columns
-    src = docs.withColumn("__held_out", langid.held_out("doc_id"))
-    model = langid.fit(src.where(~F.col("__held_out")))
-    named = langid.predict(docs.select("*"), model)
+    model = langid.fit(docs)
+    named = langid.predict(docs.select("*"), model if model[0] else langid.ANY)
     return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*cols)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 BUCKETS, ORDERS, MAX_LANGS = 1 << 15, (1, 2, 3), 256
 UNKNOWN = "und"
+#: A model of one nameless language, for tables without labels: any text with a letter is in it.
+ANY = ["mul"], np.zeros((BUCKETS, 1)), np.zeros(1)
 _SLICE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)

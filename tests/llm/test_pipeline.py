@@ -1,5 +1,7 @@
 """The stages against brute force, each on its own input, and the whole."""
 
+import zlib
+
 import numpy as np
 import pytest
 from test_decontam import brute as brute_hits
@@ -80,3 +82,12 @@ def test_stages_decide_by_row(spark):
     single = dict(pipeline.STAGES)["SimHash near-dedup"](spark, df, SF)
     assert single.columns == docs.columns
     assert sorted(r.n_chars for r in single.collect()) == [1, 3, 4, 6]
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_without_a_model(spark, lang):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)  # all labelled rows held out
+    data = [(held, "ein Fuchs", lang, "s", 1), (held, "12 34", lang, "s", 2), (held, None, lang, "s", 3), (None, "é", None, "s", 4)]
+    got = dict(pipeline.STAGES)["language ID"](spark, spark.createDataFrame(data, docs.schema), SF)
+    assert sorted(r.n_chars for r in got.collect()) == [1, 4]
