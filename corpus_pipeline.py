@@ -31,7 +31,8 @@ def _text_key() -> Column:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, one row of
     it where rows repeat or texts of the group share that id, and every document whose
-    id is null. Texts of other groups with the same id are documents of their own."""
+    id is null. Texts of other groups with the same id are documents of their own.
+    Groups are those of op4's contract, so copies beyond 2 of 64 bits stay (see README)."""
     keyed = docs.withColumn("__text", _text_key())
     groups = simhash.simhash_groups(keyed, carry=("__text",)).where("doc_id is not null")
     first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "__text")).alias("first"))
