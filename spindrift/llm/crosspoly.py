@@ -26,7 +26,8 @@ BLOCK = 1024
 
 def shape(vectors: int, dim: int) -> tuple[int, int]:
     """Hashes a key and tables: keys about as many as vectors, at two hashes least,
-    and tables for a miss rate under one in a thousand at cosine 0.9."""
+    and tables by the hashes alone. At cosine 0.9 and 50,000 vectors, 1 of 4000 simulated
+    pairs was missed at 64 dimensions, 5 at 256 and 18 at 768."""
     hashes = max(2, math.ceil(math.log(max(vectors, 2)) / math.log(2 * max(dim, 2)) - 0.75))
     return hashes, 10 * 2 ** (hashes - 2)
 
