@@ -3,7 +3,8 @@
 The reader checks every gzip member and record (gzip's checksum, version line, header,
 length, payload digest). After a failed check it searches for the next gzip member or
 version line that passes, recovers all later records, and reports the bytes between
-as a quarantined gap.
+as a quarantined gap. Members are inflated as a stream, a record at a time: within one,
+and in what can be inflated of a broken one, it searches for the next version line too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from spindrift.llm.common import new_path, written
 MIN_BYTES, ROLL_BYTES, DATE = 0, 64 << 20, "1970-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
-_CHUNK = 1 << 20
+_CHUNK, _HEADER = 1 << 20, 1 << 24
 RECORDS = "file string, offset long, length long, kind string, reason string, warc_type string, record_id string, uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -114,19 +115,26 @@ class _File:
         self.source.seek(at)
         return self.source.read(min(n, self.size - at))
 
-    def member(self, at: int) -> tuple[bytes, int]:
-        """Content and end of the gzip member at ``at``."""
-        z, out, pos = zlib.decompressobj(31), [], at
+    def member(self, at: int) -> Iterator[bytes | tuple[int, str | None]]:
+        """What can be inflated of the gzip member at ``at``, in pieces of bounded size,
+        and last its end and, where it is broken, the reason."""
+        z, pos = zlib.decompressobj(31), at
         while not z.eof:
             chunk = self.read(pos, _CHUNK)
             if not chunk:
-                raise Bad("member cut short")
-            try:
-                out.append(z.decompress(chunk))
-            except zlib.error as e:
-                raise Bad(f"gzip: {e}") from None
+                yield pos, "member cut short"
+                return
             pos += len(chunk)
-        return b"".join(out), pos - len(z.unused_data)
+            while chunk and not z.eof:
+                try:
+                    data = z.decompress(chunk, _CHUNK)
+                except zlib.error as e:
+                    yield pos, f"gzip: {e}"
+                    return
+                chunk = z.unconsumed_tail
+                if data:
+                    yield data
+        yield pos - len(z.unused_data), None
 
     def plain(self, at: int) -> tuple[dict[str, str], bytes, int]:
         """The uncompressed record at ``at``, reading no more than its length asks for."""
@@ -161,33 +169,115 @@ class _File:
         return self.size
 
 
+def proven(head: dict[str, str]) -> bool:
+    """Whether the record has a digest of its own, which parse() has checked."""
+    return head.get("warc-block-digest", "").startswith("sha1:")
+
+
+def _wanted(data: bytes) -> int:
+    """How many bytes the record at the start of data asks for, as far as can be told."""
+    head = b"WARC/1.1\r\n"
+    if len(data) < len(head):
+        return len(head)
+    stop = data.find(b"\r\n\r\n")
+    if not _VERSION.match(data) or stop < 0 and len(data) >= _HEADER:
+        return 0
+    if stop < 0:
+        return min(2 * len(data), _HEADER)
+    size = re.search(rb"\r\ncontent-length:\s*(\d{1,15})\s*\r\n", data[: stop + 2], re.I)
+    return stop + 8 + int(size[1]) if size else 0
+
+
+def inflated(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes] | tuple[None, str]]:
+    """The sound records of a member's content, (header, payload), and (None, reason)
+    for each run of bytes that holds none. No more than a record is held."""
+    data, more, lost = b"", True, False
+    while True:
+        held, size, want = [data], len(data), _wanted(data)
+        while more and size < max(want, 1):
+            piece = next(pieces, None)
+            if piece is None:
+                more = False
+                break
+            held.append(piece)
+            size += len(piece)
+            if size >= want:
+                data = b"".join(held)
+                held, want = [data], _wanted(data)
+        data = b"".join(held)
+        if not data:
+            return
+        try:
+            head, payload, end = parse(data)
+        except Bad as e:
+            if not lost:
+                yield None, str(e)
+            lost = True
+            at = data.find(b"WARC/1.", 1)
+            data = data[at:] if at >= 0 else data[-6:] if more and len(data) > 6 else b""
+            if at < 0 and more:  # the mark may lie across two pieces
+                piece = next(pieces, None)
+                more = piece is not None
+                data = data + (piece or b"") if more else b""
+                at = data.find(b"WARC/1.")
+                data = data[at:] if at >= 0 else data
+            continue
+        lost = False
+        yield head, payload
+        data = data[end:]
+
+
 def salvage(source, size: int) -> Iterator[Found]:
-    """All sound records in order, and a gap for each run of bytes that holds none."""
+    """All sound records in order, and a gap for each run of bytes that holds none. Of a
+    member of several records only the last has a length. A member that is broken, or
+    holds a bad record, gives its sound records without length, and is a gap as well;
+    of a broken one only records with a digest of their own count as sound."""
     f, at, lost, why = _File(source, size), 0, None, None
     while at < size:
-        good: list[Found] = []
-        try:
-            if f.read(at, 3) == _GZIP:
-                data, end = f.member(at)
-                pos = 0
-                while pos < len(data):
-                    head, payload, pos = parse(data, pos)
-                    good.append(Found(at, end - at, "record", None, head, payload))
-                if not good:
-                    raise Bad("empty member")
-            else:
-                head, payload, end = f.plain(at)
-                good.append(Found(at, end - at, "record", None, head, payload))
-        except Bad as e:
+        if f.read(at, 3) == _GZIP:
+            end, broken, inner = at, None, None
+
+            def pieces(at=at):
+                nonlocal end, broken
+                for x in f.member(at):
+                    if isinstance(x, bytes):
+                        yield x
+                    else:
+                        end, broken = x
+
+            held: list[Found] = []  # the last record, and those that only gzip's checksum can prove
+            for head, payload in inflated(pieces()):
+                if head is None:
+                    inner = inner or payload
+                    continue
+                if lost is not None:
+                    yield Found(lost, at - lost, "gap", why)
+                    lost = None
+                if held and proven(held[-1].head):
+                    yield held.pop()
+                held.append(Found(at, 0, "record", None, head, payload))
+            if broken is None and inner is None and held:
+                held[-1].length = end - at
+                yield from held
+                at = end
+                continue
+            yield from (x for x in held if broken is None or proven(x.head))
             if lost is None:
-                lost, why = at, str(e)
-            at = f.next_mark(at + 1)
-            continue
-        if lost is not None:
-            yield Found(lost, at - lost, "gap", why)
-            lost = None
-        yield from good
-        at = end
+                lost, why = at, broken or inner or "empty member"
+            at = f.next_mark(at + 1) if broken is not None else end
+        else:
+            try:
+                head, payload, end = f.plain(at)
+            except Bad as e:
+                if lost is None:
+                    lost, why = at, str(e)
+                at = f.next_mark(at + 1)
+                continue
+            if lost is not None:
+                yield Found(lost, at - lost, "gap", why)
+                lost = None
+            yield Found(at, end - at, "record", None, head, payload)
+            at = end
     if lost is not None:
         yield Found(lost, size - lost, "gap", why)
 
@@ -271,8 +361,15 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, with_paylo
     return files.select("path").repartition(max(1, min(files.count(), 20_000)), "path").mapInArrow(run, RECORDS)
 
 
+def whole(rows: DataFrame) -> DataFrame:
+    """RECORDS without gaps; fails at the first gap."""
+    said = F.concat_ws(" ", F.lit("gap in"), "file", F.lit("at"), "offset", F.lit("of"), "length", F.lit("bytes:"), "reason")
+    return rows.where(F.when(F.col("kind") == "record", True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads them back.
+    """Writes pages to archives in the shared folder and reads them back. A gap in them
+    is an error that names file, place and reason: a page of this job would be lost.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to of all
     records read; one row per input row. Of payloads that are equal and have at least
@@ -284,5 +381,5 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     files = write_archives(pages, folder, id_col, url_col, html_col, min_bytes)
-    rows = read_archives(spark, files, folder, with_payload=False).where("kind = 'record'")
+    rows = whole(read_archives(spark, files, folder, with_payload=False))
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
