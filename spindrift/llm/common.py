@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session; where that is unset (tests on one machine) a temporary folder."""
+    session. Where that is unset, a temporary folder if master is local; on a cluster
+    that folder would be another one on each machine, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not (own := getattr(spark, "_spindrift_dir", None)):
             own = spark._spindrift_dir = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         root = own
