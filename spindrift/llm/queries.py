@@ -23,7 +23,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op9_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
