@@ -1,17 +1,24 @@
 """Secret scan, in DataFrame operations only.
 
-Base matches come from patterns. Further candidates are long runs over the letters
-of base64; each gets the alphabet its characters suggest (hex, base32, base64) and
-a battery of tests of the hypothesis that it is random in that alphabet: chi-squared
-uniformity over four equal parts of the alphabet, runs about the middle, and serial
-correlation. The smallest p-value, times three, goes to a false-discovery control
-(Benjamini-Hochberg) within each alphabet and length class, since power depends on
-length: what it discovers is structure, such as words or paths, and what is left is
-reported as random. The control needs only counts of p-values in fixed steps.
+Base matches come from patterns. Further candidates are what base matches leave of
+long runs over the letters of base64. Each gets the alphabet its characters suggest
+(hex, base32, one case with digits, base64) and a battery of tests of the hypothesis
+that it is random in that alphabet: chi-squared uniformity over all its letters, runs
+of upper case, lower case, digits and signs, and serial correlation. What the battery
+rejects is structure. What it keeps may only be too short to reject, so it is tested
+against structure too: a p-value that words, paths or identifiers, with the letter
+frequencies of prose and runs that seldom change kind, look so random. A
+false-discovery control (Benjamini-Hochberg) of these p-values within each alphabet
+and length class, since power depends on length, decides which are reported as random;
+so at most about a share ``q`` of what is reported is structure. It needs only counts
+of p-values in fixed steps.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +29,17 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # as [0-9a-f]+ of 16 and more: a run is matched whole or not at all
-CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"  # LEAST and more
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+LEAST = 24
+#: Frequency of a to z in English prose, in percent.
+PROSE = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074]
+#: How often neighbours differ in kind, by alphabet, in structure at most. Share of
+#: structure's letters that are as frequent as any other (names, abbreviations).
+CHANGES, EVEN = {32: 0.25, 36: 0.25, 64: 0.4}, 0.15
 _BLOCK, _STEPS = 256, 120
 _SPANS = "array<struct<s:int,k:int,e:int>>"
+_CANDS = "array<struct<s:int,e:int,size:int,len:int,step:int>>"
 
 
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -63,44 +77,123 @@ def _upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), 1.5976 * z + 0.07056 * z * z * z))))
 
 
+def _core(v: Column) -> Column:
+    """The candidate without what only separates groups of letters."""
+    return F.regexp_replace(v, "[-_/+]", "")
+
+
 def _alphabet(v: Column) -> Column:
-    """Size of the alphabet that the characters suggest; null if none."""
-    digit, lower, upper = (v.rlike(x) for x in ("[0-9]", "[a-z]", "[A-Z]"))
-    return F.when(v.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), 16).when(v.rlike("^[A-Z2-7]+$") & digit & upper, 32).when(digit & lower & upper, 64)
+    """Size of the alphabet that the characters suggest; null if none. Alphabets of one
+    case leave signs out."""
+    core = _core(v)
+    digit, lower, upper = (core.rlike(x) for x in ("[0-9]", "[a-z]", "[A-Z]"))
+    one = F.when(core.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(core.rlike("^[A-Z2-7]+$"), 32).otherwise(36)
+    return F.when(digit & lower & upper, 64).when(digit & (lower | upper), one)
+
+
+def _letters(v: Column, size: Column) -> tuple[Column, Column]:
+    """The candidate's letters as one string of the alphabet's, and that alphabet."""
+    text = F.when(size == 64, F.translate(v, "-_", "+/")).when(size == 32, _core(v)).otherwise(F.lower(_core(v)))
+    return text, F.when(size == 16, F.lit("0123456789abcdef")).when(size == 32, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).when(size == 36, F.lit("abcdefghijklmnopqrstuvwxyz0123456789")).otherwise(F.lit(BASE64))
+
+
+def _kind(c: Column) -> Column:
+    return F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
+
+
+def _change(size: int) -> float:
+    """How often neighbours differ in kind in a random string."""
+    parts = {16: (6, 10), 32: (26, 6), 36: (26, 10), 64: (26, 26, 10, 2)}[size]
+    return 1 - sum((p / size) ** 2 for p in parts)
+
+
+def _by_size(size: Column, of: Callable[[int], float]) -> Column:
+    return F.when(size == 16, of(16)).when(size == 32, of(32)).when(size == 36, of(36)).otherwise(of(64))
 
 
 def p_value(v: Column, size: Column) -> Column:
     """The smallest of three p-values, times three, that v is random over its alphabet."""
-    chars = F.filter(F.split(F.when(size == 16, F.lower(v)).otherwise(F.translate(v, "-_", "+/")), ""), lambda c: c != "")
-    letters = F.when(size == 16, F.lit("0123456789abcdef")).when(size == 32, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(F.lit(BASE64))
+    text, letters = _letters(v, size)
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
 
     def of(x: Column) -> Column:
         n = F.size(x).cast("double")
-        quarter = F.transform(x, lambda c: F.floor(c * 4 / size))
-        counts = [n - F.size(F.array_remove(quarter, i)) for i in range(4)]
-        chi = sum((c - n / 4) * (c - n / 4) / (n / 4) for c in counts)
-        p_chi = _upper_tail((F.pow(chi / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5)
-        high = F.size(F.filter(x, lambda c: c >= size / 2)).cast("double")
-        low = n - high
+        counts = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.size(F.filter(x, lambda y: y["at"] == k)).cast("double"))
+        # Pearson's sum over all letters, by its exact mean and variance
+        chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) * size / n - n
+        z = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
+        p_chi = _upper_tail(z)
         turns = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = F.aggregate(turns, F.lit(1.0), lambda s, t: s + ((t["a"] >= size / 2) != (t["b"] >= size / 2)).cast("double"))
-        mean = 2 * high * low / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = F.when(var > 0, 2 * _upper_tail(F.abs(runs - mean) / F.sqrt(F.greatest(var, F.lit(1e-9))))).otherwise(F.lit(0.0))
-        mu = F.aggregate(x, F.lit(0.0), lambda s, c: s + c) / n
-        sq = F.aggregate(x, F.lit(0.0), lambda s, c: s + (c - mu) * (c - mu))
-        co = F.aggregate(turns, F.lit(0.0), lambda s, t: s + (t["a"] - mu) * (t["b"] - mu))
+        changes = F.size(F.filter(turns, lambda t: t["a"]["kind"] != t["b"]["kind"]))
+        often = _by_size(size, _change)
+        p_runs = 2 * _upper_tail(F.abs(changes - (n - 1) * often) / F.sqrt((n - 1) * often * (1 - often)))
+        mu = F.aggregate(x, F.lit(0.0), lambda s, c: s + c["at"]) / n
+        sq = F.aggregate(x, F.lit(0.0), lambda s, c: s + (c["at"] - mu) * (c["at"] - mu))
+        co = F.aggregate(turns, F.lit(0.0), lambda s, t: s + (t["a"]["at"] - mu) * (t["b"]["at"] - mu))
         p_corr = F.when(sq > 0, 2 * _upper_tail(F.abs(co / F.greatest(sq, F.lit(1e-9)) + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
         return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_corr))
 
-    return let(F.transform(chars, lambda c: F.position(c, letters) - 1), of)
+    return let(F.transform(chars, lambda c: F.struct((F.position(c, letters) - 1).alias("at"), _kind(c).alias("kind"))), of)
+
+
+def p_structure(v: Column, size: Column) -> Column:
+    """A bound of the probability that structured text looks as random as v does.
+
+    Letters of structure follow prose, its neighbours change kind in at most CHANGES of
+    all places; the log-likelihood of a random string over that of structure is held
+    against its mean and variance under structure, by the normal tail's exponential
+    bound. In hex it is the chance that no letter lies past f."""
+    even = [(1 - EVEN) * x / sum(PROSE) + EVEN / 26 for x in PROSE]
+    weight = [math.log(1 / 26 / x) for x in even]
+    mean = sum(p * w for p, w in zip(even, weight, strict=True))
+    var = sum(p * w * w for p, w in zip(even, weight, strict=True)) - mean * mean
+    abc = F.lit("abcdefghijklmnopqrstuvwxyz")
+    text = _letters(v, size)[0]
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    gain, loss = (lambda k: math.log(_change(k) / CHANGES[k])), (lambda k: math.log((1 - _change(k)) / (1 - CHANGES[k])))
+    rate = _by_size(size, lambda k: CHANGES.get(k, 0.25))
+    a, b = (_by_size(size, lambda k, f=f: f(k) if k in CHANGES else 0.0) for f in (gain, loss))
+
+    def of(x: Column) -> Column:
+        letters = F.filter(F.transform(x, lambda c: F.position(F.lower(c), abc)), lambda i: i > 0)
+        table = F.array(*map(F.lit, weight))
+
+        def scored(y: Column) -> Column:
+            n, turns = F.size(y).cast("double"), F.size(x).cast("double") - 1
+            changes = F.size(F.filter(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda c, d: _kind(c) != _kind(d)), lambda t: t)).cast("double")
+            total = F.aggregate(y, F.lit(0.0), lambda s, i: s + F.element_at(table, i)) + changes * a + (turns - changes) * b
+            spread = n * var + turns * rate * (1 - rate) * (a - b) * (a - b)
+            z = (total - n * mean - turns * (rate * a + (1 - rate) * b)) / F.sqrt(F.greatest(spread, F.lit(1e-9)))
+            tail = 0.5 * F.exp(-F.least(z * z, F.lit(1400.0)) / 2)
+            return F.when(size == 16, F.exp(n * math.log(sum(even[:6])))).otherwise(F.when(z > 0, tail).otherwise(1 - tail))
+
+        return let(letters, scored)
+
+    return let(chars, of)
 
 
 def _of_kind(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05, carry: bool = False) -> DataFrame:
+def _pieces(x: Column, base: Column, least: int) -> Column:
+    """What the base spans leave of candidate x, in pieces of ``least`` and more characters."""
+    over = F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    start = F.struct(x["s"].alias("at"), none.alias("out"))
+
+    def cut(a: Column, b: Column) -> Column:
+        free = F.struct(a["at"].alias("s"), b["s"].alias("e"))
+        return F.struct(F.greatest(a["at"], b["e"]).alias("at"), F.when(b["s"] - a["at"] >= least, F.concat(a["out"], F.array(free))).otherwise(a["out"]).alias("out"))
+
+    def last(a: Column) -> Column:
+        return F.when(x["e"] - a["at"] >= least, F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), x["e"].alias("e"))))).otherwise(a["out"])
+
+    cuts = F.aggregate(over, start, cut, last)
+    return F.transform(cuts, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.substring(x["v"], c["s"] - x["s"] + 1, c["e"] - c["s"]).alias("v")))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05, alpha: float = 0.01, carry: bool = False) -> DataFrame:
     """Finds secrets in whole texts.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (of kind:start:end, by
@@ -108,21 +201,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     with the method's spans, of kind random, which overlap no base span), all
     (array of the spans) and, with ``carry``, row (the input row). One row per input
     row, repeated rows each on their own. Null and empty texts have no spans; a null
-    id is kept; other columns don't matter. A candidate without an alphabet (no digit,
-    or one case only and neither hex nor base32) is not tested and not reported.
+    id is kept; other columns don't matter. A candidate whose battery p-value is under
+    ``alpha`` is structure; ``q`` is the share of structure among what is reported. A
+    candidate without a digit, or without a letter, is not tested and not reported.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [(ASSIGN, 2, 12), (ACCESS, 0, 18), (HEX, 0, 16)]
     base = F.concat(*(_of_kind(matches(text, p, g, n), k) for k, (p, g, n) in enumerate(kinds)))
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), *([F.struct("*").alias("row")] if carry else []), F.array_sort(base).alias("base"), matches(text, CANDIDATE, 0, 24).alias("more"))
+    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), *([F.struct("*").alias("row")] if carry else []), F.array_sort(base).alias("base"), matches(text, CANDIDATE, 0, LEAST).alias("more"))
 
     def tested(base: Column, more: Column) -> Column:
-        free = F.filter(more, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        free = F.flatten(F.transform(more, lambda x: _pieces(x, base, LEAST)))
         sized = F.filter(F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), _alphabet(x["v"]).alias("size"))), lambda x: x["size"].isNotNull())
         step = lambda p: F.least(F.lit(_STEPS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-13))))).cast("int")
-        return F.transform(sized, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["size"].alias("size"), F.floor(F.log2((x["e"] - x["s"]).cast("double"))).cast("int").alias("len"), step(p_value(x["v"], x["size"])).alias("step")))
+        p = lambda x: F.when(p_value(x["v"], x["size"]) < alpha, F.lit(1.0)).otherwise(p_structure(x["v"], x["size"]))
+        return F.transform(sized, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["size"].alias("size"), F.floor(F.log2((x["e"] - x["s"]).cast("double"))).cast("int").alias("len"), step(p(x)).alias("step")))
 
-    src = written(src.select("*", tested(F.col("base"), F.col("more")).alias("cand")).drop("more"), "secrets")
+    src = written(src.select("*", F.when(F.size("more") > 0, tested(F.col("base"), F.col("more"))).otherwise(F.array().cast(_CANDS)).alias("cand")).drop("more"), "secrets")
     # false-discovery control: the first step from which q times the share of p-values covers the step's bound
     counts = src.select(F.inline("cand")).groupBy("size", "len", "step").agg(F.count("*").alias("n"))
     w = Window.partitionBy("size", "len")
@@ -130,13 +225,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     cut = tail.where(F.col("m") * F.pow(F.lit(10.0), -F.col("step") / 10) <= q * F.col("below")).groupBy("size", "len").agg(F.min("step").alias("cut"))
     cuts = {(r["size"], r["len"]): r["cut"] for r in cut.collect()}  # at most one for each alphabet and power of two
 
-    def structured(x: Column) -> Column:
+    def discovered(x: Column) -> Column:
         found = F.lit(False)
         for (size, n), step in cuts.items():
             found = found | ((x["size"] == size) & (x["len"] == n) & (x["step"] >= step))
         return found
 
-    random = F.filter("cand", lambda x: ~structured(x))
+    random = F.filter("cand", discovered)
     random = _of_kind(random, 3)
     label = F.array(*map(F.lit, KINDS))
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(label, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
