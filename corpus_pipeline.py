@@ -14,13 +14,26 @@ from spindrift.llm import decontam, langid, packing, secrets, simhash
 from spindrift.llm.common import table, written
 
 
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of docs has it, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: a null text, or no letter in it. Which language
-    it is decides nothing. Learns from all labelled rows; without any, letters decide alone."""
+    it is decides nothing. Learns from all labelled rows; without any, letters decide alone.
+    Repeated rows and rows with a null id are judged each on their own and all kept or all
+    dropped alike; columns of any other name pass through."""
     cols = docs.columns
-    model = langid.fit(docs)
-    named = langid.predict(docs.select("*"), model if model[0] else langid.ANY)
-    return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*cols)
+    lang, score = _fresh(docs, "lang_pred", "score")
+    named = langid.predict(docs, langid.fit(docs) or langid.ANY, names=(lang, score))
+    return named.where(F.col(lang) != langid.UNKNOWN).select(*cols)
 
 
 def _text_key() -> Column:
@@ -32,32 +45,40 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the document with the smallest id of each group of near copies, one row of
     it where rows repeat or texts of the group share that id, and every document whose
     id is null. Texts of other groups with the same id are documents of their own.
-    Groups are those of op4's contract, so copies beyond 2 of 64 bits stay (see README)."""
-    keyed = docs.withColumn("__text", _text_key())
-    groups = simhash.simhash_groups(keyed, carry=("__text",)).where("doc_id is not null")
-    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "__text")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("kept"), F.col("first.__text").alias("kept_text"))
+    Groups are those of op4's contract, so copies beyond 2 of 64 bits stay (see README).
+    Columns of any other name pass through."""
+    key, kept, kept_key = _fresh(docs, "text_key", "kept_id", "kept_key")
+    keyed = docs.withColumn(key, _text_key())
+    groups = simhash.simhash_groups(keyed.select("doc_id", "text", key), carry=(key,)).where("doc_id is not null")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    first = first.select(F.col("first.doc_id").alias(kept), F.col(f"first.{key}").alias(kept_key))
     unknown = docs.where("doc_id is null")
-    single = keyed.join(kept, (F.col("doc_id") == F.col("kept")) & (F.col("__text") == F.col("kept_text"))).drop("kept", "kept_text")
-    return single.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(unknown)
+    single = keyed.join(first, (F.col("doc_id") == F.col(kept)) & (F.col(key) == F.col(kept_key))).drop(kept, kept_key)
+    return single.dropDuplicates(["doc_id", key]).drop(key).unionByName(unknown)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item, each by its own text."""
-    keyed = docs.withColumn("__text", _text_key())
-    hit = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="__text").where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
-    return keyed.join(hit, F.col("__text") == F.col("hit"), "left_anti").drop("__text")
+    """Drops documents that hold a window of a benchmark item, each by its own text:
+    rows that share an id, or whose id is null, are judged apart, and repeated rows
+    all go or all stay. Columns of any other name pass through."""
+    key, hit_key = _fresh(docs, "text_key", "hit_key")
+    keyed = docs.withColumn(key, _text_key())
+    hit = decontam.decontaminate(keyed.select("text", key), table(spark, sf_dir, "benchmark"), id_col=key).where("contaminated").select(F.col("doc_id").alias(hit_key)).distinct()
+    return keyed.join(hit, F.col(key) == F.col(hit_key), "left_anti").drop(key)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts and keeps all documents."""
-    found = secrets.scan(docs, carry=True).select("row.*", F.col("all").alias("__spans"))
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("__spans")))
-    return clean.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Replaces secrets in the texts and keeps all documents, repeated rows and rows with
+    a null id included. n_chars follows where the text changed; other columns stay."""
+    (spans,) = _fresh(docs, "spans")
+    found = secrets.scan(docs, carry=True).select("row.*", F.col("all").alias(spans))
+    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents with their sequence and place in it."""
+    """Pieces of the remaining documents with their sequence and place in it. Repeated rows
+    are packed each on their own; a null text is its end id alone; a null id is kept."""
     return packing.pack(docs)
 
 
