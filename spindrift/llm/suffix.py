@@ -4,17 +4,19 @@ Every window of ``length`` bytes picks one anchor, the leftmost of its smallest
 ``gram``-byte hashes; equal windows pick it at the same place. So only suffixes
 that start at anchors need order: about one in 185 bytes. Windows that share an
 anchor make a segment. Equal segments collapse in an aggregation. What is left is
-sorted within each anchor hash by a deep-shallow sort (multikey quicksort to a
-shallow depth, then blind tries), on the text right of the anchor and, reversed,
-left of it. Merging the right order's groups from the longest common prefix down,
-with neighbours in the left order, finds for each anchor how far equal windows
-reach without looking at all pairs.
+split by the bytes after the anchor and, a second time, by those before it: equal
+windows agree on half a window on one side at least. Each part is sorted by a
+deep-shallow sort (multikey quicksort to a shallow depth, then blind tries), on the
+text right of the anchor and, reversed, left of it. Merging the right order's groups
+from the longest common prefix down, with neighbours in the left order, finds for
+each anchor how far equal windows reach without looking at all pairs. Parts too large
+for one task are split further, by whole windows: those need no order.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import written
 
-#: Distinct segments of one anchor hash that one task sorts; beyond, see _hot().
-GROUP_LIMIT = 32768
+#: Distinct segments of one part that one task sorts; larger parts are split by windows.
+GROUP_LIMIT = 4096
 _PIECE, _ROWS = 1 << 23, 50_000
 
 
@@ -187,6 +189,40 @@ def deep_shallow_sort(strings: list[bytes], shallow: int = 64, step: int = 8) ->
     return out, lcps
 
 
+class _Ranks:
+    """Ordered numbers in blocks, so that neither lookup nor insertion moves them all."""
+
+    def __init__(self, first: int, size: int = 512):
+        self.blocks, self.tops, self.n, self.size = [[first]], [first], 1, size
+
+    def around(self, v: int) -> list[int]:
+        """The largest number below v and the smallest above, where there are such."""
+        b = min(bisect_left(self.tops, v), len(self.tops) - 1)
+        own = self.blocks[b]
+        at, out = bisect_left(own, v), []
+        if at:
+            out.append(own[at - 1])
+        elif b:
+            out.append(self.tops[b - 1])
+        if at < len(own):
+            out.append(own[at])
+        return out
+
+    def add(self, v: int) -> None:
+        b = min(bisect_left(self.tops, v), len(self.tops) - 1)
+        own = self.blocks[b]
+        insort(own, v)
+        self.n += 1
+        if len(own) > self.size:
+            self.blocks[b : b + 1] = [own[: len(own) // 2], own[len(own) // 2 :]]
+            self.tops[b : b + 1] = [self.blocks[b][-1], own[-1]]
+        else:
+            self.tops[b] = own[-1]
+
+    def __iter__(self):
+        return (v for b in self.blocks for v in b)
+
+
 def reaches(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[list[int], list[int]]:
     """For strings around one anchor: how far left and right of it windows of
     ``length`` bytes reach that another string has too (0, 0: none)."""
@@ -215,21 +251,19 @@ def reaches(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[list[
             x = up[x]
         return x
 
-    sets = [[rank[i]] for i in order]
+    sets = [_Ranks(rank[i]) for i in order]
     for k in sorted(range(n - 1), key=lambda k: -lcps[k]):
         x, y = top(k), top(k + 1)
-        if len(sets[x]) < len(sets[y]):
+        if sets[x].n < sets[y].n:
             x, y = y, x
-        big, small, r = sets[x], sets[y], lcps[k]
+        big, r = sets[x], lcps[k]
+        small = list(sets[y])
+        for v in small:
+            for u in big.around(v):
+                meet(by_left[u], by_left[v], r)
         for v in small:
-            at = bisect_left(big, v)
-            if at:
-                meet(by_left[big[at - 1]], by_left[v], r)
-            if at < len(big):
-                meet(by_left[big[at]], by_left[v], r)
-        big.extend(small)
-        big.sort()
-        sets[y], up[y] = [], x
+            big.add(v)
+        sets[y], up[y] = None, x
     return best_l, best_r
 
 
@@ -238,7 +272,10 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _find_segments(length: int, gram: int):
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("u", pa.binary())])
+    """Rows of distinct segments of each text; what a text itself repeats is merged to
+    spans, which have no key."""
+    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("u", pa.binary()), ("after", pa.int64()), ("before", pa.int64())])
+    half, low = length // 2, 1 << 63
 
     def run(batches):
         for batch in batches:
@@ -246,20 +283,32 @@ def _find_segments(length: int, gram: int):
             for did, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode()
                 a, lo, hi, key = segments(data, length, gram)
-                digest = xxhash.xxh3_128_digest
+                digest, side = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+                seen: dict[bytes, tuple[int, int]] = {}
+                again: list[tuple[int, int]] = []
                 for at in range(0, len(a), _ROWS):  # a periodic text has an anchor at every place
                     own = slice(at, at + _ROWS)
-                    n = len(a[own])
-                    cols = ([did] * n, [th] * n, a[own], lo[own], hi[own], key[own], [digest(data[x:y]) for x, y in zip(lo[own].tolist(), (hi[own] + length).tolist(), strict=True)])
-                    for o, c in zip(out, cols, strict=True):
-                        o.extend(c)
+                    for p, x, y, k in zip(a[own].tolist(), lo[own].tolist(), (hi[own] + length).tolist(), key[own].tolist(), strict=True):
+                        u = digest(data[x:y])
+                        if u in seen:
+                            again += [seen[u], (x, y)]
+                            continue
+                        seen[u] = x, y
+                        after = side(data[p : p + half]) - low if p + half <= y else None
+                        before = side(data[p - half : p]) - low if p - half >= x else None
+                        for o, v in zip(out, (did, th, p, x, y - length, k, u, after, before), strict=True):
+                            o.append(v)
+                    again = [(x, y) for x, y in merged(again)]
                     if len(out[0]) >= _ROWS:
                         yield _rows(schema, *out)
                         out = [[] for _ in schema]
+                for x, y in again:
+                    for o, v in zip(out, (did, th, None, x, y - length, None, None, None, None), strict=True):
+                        o.append(v)
             if out[0]:
                 yield _rows(schema, *out)
 
-    return run, "did long, th long, a int, lo int, hi int, key long, u binary"
+    return run, "did long, th long, a int, lo int, hi int, key long, u binary, after long, before long"
 
 
 def _sort_groups(length: int):
@@ -278,11 +327,11 @@ def _sort_groups(length: int):
 
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for *k, did, th, a, c, left, ctx in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if k != key:
                     flush(out)
                     key, group = k, []
-                group.append(row)
+                group.append((did, th, a, c, left, ctx))
             if out[0]:
                 yield _rows(schema, *out)
         out = [[], [], [], []]
@@ -312,24 +361,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     run, ddl = _find_segments(length, gram)
     seg = written(src.where(F.octet_length("text") >= length).mapInArrow(run, ddl), "segments")
-    alike = seg.groupBy("key", "u").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "a", "lo", "hi")).alias("rep"))
-    alike = written(alike, "alike")
-    keys = alike.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    inside = seg.where("u is null").select("did", "th", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    seg = seg.where("u is not null")
+    alike = seg.groupBy("key", "u").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "a", "lo", "hi", "after", "before")).alias("rep"))
+    alike = written(alike.select("key", "u", "c", "rep.*"), "alike")
     whole = seg.join(alike.where("c > 1").select("key", "u"), ["key", "u"]).select("did", "th", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    open_ = alike.join(keys, "key").select("key", "c", "m", "rep.*")
+    # parts: segments of an anchor that agree on half a window after it, or before it
+    part = alike.select("key", F.explode(F.array(*(F.struct(F.lit(c == "after").alias("right"), F.col(c).alias("half")) for c in ("after", "before")))).alias("x")).select("key", "x.*")
+    sizes = part.where("half is not null").groupBy("key", "right", "half").agg(F.count("*").alias("m")).where("m > 1")
+    open_ = alike
+    for c in ("after", "before"):
+        own = sizes.where(F.col("right") == (c == "after")).select("key", F.col("half").alias(c), F.col("m").alias(f"m_{c}"))
+        open_ = open_.join(own, ["key", c], "left")
+    open_ = open_.where("m_after is not null or m_before is not null").drop("u")
     text = src.withColumnsRenamed({"did": "d", "th": "t"})
     ctx = open_.join(text, F.col("did").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     ctx = ctx.withColumn("ctx", F.expr(f"substring(cast(text as binary), lo + 1, hi - lo + {length})")).drop("text", "d", "t")
     # rows alike in id and text meet their representative twice; those have c > 1
     ctx = written(ctx, "contexts")
     run, ddl = _sort_groups(length)
-    calm = ctx.where(F.col("m") <= group_limit).select("key", "did", "th", "a", "c", (F.col("a") - F.col("lo")).alias("left"), "ctx")
-    found = calm.repartition("key").sortWithinPartitions("key").mapInArrow(run, ddl)
+    sides = F.array(*(F.struct(F.lit(c == "after").alias("right"), F.col(c).alias("half"), F.col(f"m_{c}").alias("m")) for c in ("after", "before")))
+    parts = ctx.select("key", "did", "th", "a", "c", (F.col("a") - F.col("lo")).alias("left"), "ctx", F.explode(sides).alias("x")).where(F.col("x.m") <= group_limit)
+    parts = parts.select("key", "x.right", "x.half", "did", "th", "a", "c", "left", "ctx")
+    found = parts.repartition("key", "right", "half").sortWithinPartitions("key", "right", "half").mapInArrow(run, ddl)
     run, ddl = _hot(length)
-    windows = ctx.where(F.col("m") > group_limit).mapInArrow(run, ddl)
+    windows = ctx.where((F.col("m_after") > group_limit) | (F.col("m_before") > group_limit)).mapInArrow(run, ddl)
     twice = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hot = windows.join(twice, "h").select("did", "th", "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(found).unionByName(hot)
+    return inside.unionByName(whole).unionByName(found).unionByName(hot)
 
 
 def _cut():
