@@ -209,6 +209,54 @@ class Floor1:
         off = abs(dy) * (self.xs[i] - self.xs[lo]) // dx
         return ys[lo] - off if dy < 0 else ys[lo] + off
 
+    def predicted(self, ys: np.ndarray, i: int) -> np.ndarray:
+        """predict() of each row of values."""
+        lo, hi = self.neighbors[i - 2]
+        dy = ys[:, hi] - ys[:, lo]
+        return ys[:, lo] + np.sign(dy) * (np.abs(dy) * (self.xs[i] - self.xs[lo]) // (self.xs[hi] - self.xs[lo]))
+
+    def folded(self, targets: np.ndarray) -> np.ndarray:
+        """fold() of each row of targets."""
+        out = targets.copy()
+        for i in range(2, targets.shape[1]):
+            p, t = self.predicted(targets, i), targets[:, i]
+            high, d = self.span - p, t - p
+            v = np.where(d > 0, 2 * d, -2 * d - 1)
+            far = np.where(high > p, d + p, high - 1 - d)
+            out[:, i] = np.where(d == 0, 0, np.where(v < 2 * np.minimum(high, p), v, far))
+        return out
+
+    def unfolded(self, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """unfold() of each row of values."""
+        out, used = ys.copy(), ys != 0
+        used[:, :2] = True
+        for i in range(2, ys.shape[1]):
+            p, v = self.predicted(out, i), ys[:, i]
+            high, on = self.span - p, v != 0
+            for j in self.neighbors[i - 2]:
+                used[:, j] |= on
+            near = np.where(v % 2 == 1, p - (v + 1) // 2, p + v // 2)
+            far = np.where(high > p, v, p - v + high - 1)
+            out[:, i] = np.where(on, np.where(v >= 2 * np.minimum(high, p), far, near), p)
+        return np.clip(out, 0, self.span - 1), used
+
+    def curves(self, ys: np.ndarray, n: int) -> np.ndarray:
+        """curve() of each row of values."""
+        final, used = self.unfolded(ys)
+        order = np.argsort(self.xs)
+        xs, final, used = np.array(self.xs)[order], final[:, order] * self.multiplier, used[:, order]
+        place, row = np.arange(len(xs)), np.arange(len(ys))[:, None]
+        before = np.maximum.accumulate(np.where(used, place, 0), axis=1)
+        after = np.minimum.accumulate(np.where(used, place, len(xs) - 1)[:, ::-1], axis=1)[:, ::-1]
+        k = np.arange(min(n, int(xs[-1])))
+        span = np.searchsorted(xs, k, side="right") - 1
+        lo, hi = before[:, span], after[:, span + 1]
+        y0, dy = final[row, lo], final[row, hi] - final[row, lo]
+        out = np.empty((len(ys), n), dtype=np.int64)
+        out[:, : len(k)] = y0 + np.sign(dy) * (np.abs(dy) * (k - xs[lo]) // (xs[hi] - xs[lo]))
+        out[:, len(k) :] = final[:, -1:]
+        return DB[np.clip(out, 0, 255)].astype(np.float32)
+
     def decode(self, r: BitReader, books: list[Codebook]) -> list[int] | None:
         if not r.flag():
             return None

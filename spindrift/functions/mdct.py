@@ -7,41 +7,46 @@ from functools import lru_cache
 import numpy as np
 
 
-@lru_cache(maxsize=16)
-def _twiddles(n: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = 0.5 + n / 4
-    time = np.exp(-1j * np.pi * np.arange(n) / n)
-    freq = np.exp(-2j * np.pi * shift * (np.arange(n // 2) + 0.5) / n)
-    return time, freq
+@lru_cache(maxsize=32)
+def _turn(n: int) -> np.ndarray:
+    return np.exp(-1j * np.pi * (np.arange(n // 2) + 0.125) / n)
+
+
+def dct4(x: np.ndarray) -> np.ndarray:
+    """sum x[n] cos(pi/N (n + 1/2)(k + 1/2)) of each row: the even values and, reversed,
+    the odd ones make a complex row of half the length, whose turned spectrum holds both."""
+    n = x.shape[1]
+    if n % 2:
+        k = np.arange(n)
+        wide = np.zeros((len(x), 2 * n), dtype=complex)
+        wide[:, :n] = x * np.exp(-0.5j * np.pi * k / n)
+        return (np.fft.fft(wide, axis=1)[:, :n] * np.exp(-0.5j * np.pi * (k + 0.5) / n)).real
+    turn = _turn(n)
+    y = np.fft.fft((x[:, ::2] + 1j * x[:, ::-2]) * turn, axis=1) * turn
+    out = np.empty(x.shape)
+    out[:, ::2], out[:, ::-2] = y.real, -y.imag
+    return out
 
 
 def forward(blocks: np.ndarray) -> np.ndarray:
-    """X[k] = 4/N sum x[n] cos(2 pi/N (n + 1/2 + N/4)(k + 1/2)) of each row."""
+    """X[k] = 4/N sum x[n] cos(2 pi/N (n + 1/2 + N/4)(k + 1/2)) of each row, which is the
+    cosine transform of the row's quarters folded onto half its length."""
     n = blocks.shape[1]
-    time, freq = _twiddles(n)
-    return 4 / n * (np.fft.fft(blocks * time, axis=1)[:, : n // 2] * freq).real
+    q = n // 4
+    half = np.empty((len(blocks), n // 2))
+    half[:, :q] = -blocks[:, 3 * q - 1 : 2 * q - 1 : -1] - blocks[:, 3 * q :]
+    half[:, q:] = blocks[:, :q] - blocks[:, 2 * q - 1 : q - 1 : -1]
+    return 4 / n * dct4(half)
 
 
 def inverse(spectra: np.ndarray) -> np.ndarray:
     """y[n] = sum X[k] cos(2 pi/N (n + 1/2 + N/4)(k + 1/2)) of each row; N is twice its length."""
-    half = spectra.shape[1]
-    n = 2 * half
-    shift = 0.5 + n / 4
-    wide = np.zeros((len(spectra), n), dtype=complex)
-    wide[:, :half] = spectra * np.exp(2j * np.pi * shift * np.arange(half) / n)
-    turned = np.fft.ifft(wide, axis=1) * n
-    return (turned * np.exp(1j * np.pi * (np.arange(n) + shift) / n)).real
-
-
-def dct4(x: np.ndarray) -> np.ndarray:
-    """sum x[n] cos(pi/N (n + 1/2)(k + 1/2)) of each row."""
-    n = x.shape[1]
-    k = np.arange(n)
-    wide = np.zeros((len(x), 2 * n), dtype=complex)
-    wide[:, :n] = x * np.exp(-0.5j * np.pi * k / n)
-    return (np.fft.fft(wide, axis=1)[:, :n] * np.exp(-0.5j * np.pi * (k + 0.5) / n)).real
+    v = dct4(spectra)
+    low, high = np.split(v, 2, axis=1)
+    return np.concatenate((high, -high[:, ::-1], -low[:, ::-1], -low), axis=1)
 
 
+@lru_cache(maxsize=64)
 def window(n: int, left: int, right: int) -> np.ndarray:
     """Window of a block whose neighbours' sizes, cut to its own, are left and right."""
     i = np.arange(n)

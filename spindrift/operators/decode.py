@@ -6,17 +6,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions import audio
+from spindrift.functions import audio, batch
 from spindrift.functions.codebook import Invalid
 from spindrift.operators import signals
 
+#: Packets that one task decodes together at least.
+CHUNK = 64
 BLOCKS = "source string, link int, serial long, packet long, granule long, eos boolean, rate long, chan int, samples array<float>"
 
 
 def stream_headers(packets: DataFrame) -> DataFrame:
-    """(source, link, serial, identification, setup) of the streams that begin with this codec's header."""
-    first = packets.where("packet < 3").groupBy("source", "link", "serial").agg(
-        F.max(F.when(F.col("packet") == 0, F.col("data"))).alias("identification"), F.max(F.when(F.col("packet") == 1, F.col("data"))).alias("comment"), F.max(F.when(F.col("packet") == 2, F.col("data"))).alias("setup")
+    """(source, link, serial, identification, comment, setup, last) of the streams that begin
+    with this codec's header; last is the number of the last packet."""
+    first = packets.select("source", "link", "serial", "packet", F.when(F.col("packet") < 3, F.col("data")).alias("data")).groupBy("source", "link", "serial").agg(
+        F.max(F.when(F.col("packet") == 0, F.col("data"))).alias("identification"), F.max(F.when(F.col("packet") == 1, F.col("data"))).alias("comment"), F.max(F.when(F.col("packet") == 2, F.col("data"))).alias("setup"), F.max("packet").alias("last")
     )
     return first.where(F.substring("identification", 1, 7) == F.lit(b"\1" + audio.MAGIC))
 
@@ -29,26 +32,36 @@ def decode_blocks(packets: DataFrame, strict: bool = False) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for source, link, serial, packet, granule, eos, data, ident, setup in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+            cols = [b.column(k).to_pylist() for k in range(9)]
+            streams: dict[tuple[bytes, bytes], list[int]] = {}
+            for i, key in enumerate(zip(cols[7], cols[8], strict=True)):
+                streams.setdefault(key, []).append(i)
+            found: dict[int, tuple[int, list]] = {}
+            for key, own in streams.items():
                 try:
-                    own = audio.headers(bytes(ident), bytes(setup))
+                    ident, _ = audio.headers(*key)
                 except (Invalid, TypeError):
                     if strict:
                         raise
                     continue
-                block = audio.decode_packet(*own, bytes(data)) if data else None
-                if block is None:
-                    if strict and data:
-                        raise Invalid(f"packet {packet} of stream {serial} is no audio")
-                    block = [None] * own[0].channels  # keeps the packet's place on the page
-                rows += [(source, link, serial, packet, granule, eos, own[0].rate, c, x) for c, x in enumerate(block)]
+                for i, block in zip(own, batch.decode_packets(*key, [cols[6][i] or b"" for i in own]), strict=True):
+                    if block is None and strict and cols[6][i]:
+                        raise Invalid(f"packet {cols[3][i]} of stream {cols[2][i]} is no audio")
+                    # without a block, the row keeps the packet's place on the page
+                    found[i] = ident.rate, [None] * ident.channels if block is None else block
+            rows = [(*(c[i] for c in cols[:6]), found[i][0], c, x) for i in sorted(found) for c, x in enumerate(found[i][1])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     if "link" not in packets.columns:
         packets = packets.withColumn("link", F.lit(0))
-    own = packets.join(stream_headers(packets).select("source", "link", "serial", "identification", "setup"), ["source", "link", "serial"]).where("packet >= 3")
+    keys = ["source", "link", "serial", "chunk"]
+    heads = stream_headers(packets).select("source", "link", "serial", "identification", "setup", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / CHUNK))).alias("chunk"))
+    # runs of packets are dealt anew, so that one long stream is decoded by many tasks; a fixed
+    # number of tasks, since by their bytes packets are few where by their work they aren't
+    tasks = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packets.where("packet >= 3").withColumn("chunk", F.floor(F.col("packet") / CHUNK)).repartition(tasks, *keys)
+    own = dealt.join(heads, keys)
     return own.select("source", "link", "serial", "packet", "granule", "eos", "data", "identification", "setup").mapInArrow(run, BLOCKS)
 
 

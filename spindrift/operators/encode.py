@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import encoder as E
 from spindrift.sources import ogg
+from spindrift.sources.pcm import from_planar, planar
 
 PLANNED = "source string, serial long, packet long, granule long, is_long boolean, before boolean, after boolean, samples array<array<float>>"
 PACKETS = "source string, serial long, packet long, granule long, flush boolean, data binary"
@@ -24,23 +25,18 @@ def _encoder(config: E.Config) -> E.Encoder:
 def plan_blocks(streams: DataFrame) -> DataFrame:
     """PLANNED of (source, serial, samples array<array<float>> by channel). Non-finite samples count as 0."""
     names = [c.split()[0] for c in PLANNED.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.list_(pa.float32()))]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
 
     def run(batches):
         for b in batches:
-            for source, serial, samples in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                x = np.nan_to_num(np.array(samples, dtype=np.float32), nan=0.0, posinf=0.0, neginf=0.0)
+            for source, serial, samples in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), from_planar(b.column(2)), strict=True):
+                x = np.nan_to_num(samples, nan=0.0, posinf=0.0, neginf=0.0)
                 blocks, total = E.plan(x), x.shape[1]
                 for first in range(0, len(blocks), 256):
-                    rows = []
-                    for k, (c, long_, before, after) in enumerate(blocks[first : first + 256], first):
-                        n = E.BLOCKSIZES[long_]
-                        own = np.zeros((len(x), n), dtype=np.float32)
-                        lo, hi = max(c - n // 2, 0), min(c + n // 2, total)
-                        if lo < hi:
-                            own[:, lo - (c - n // 2) : hi - (c - n // 2)] = x[:, lo:hi]
-                        rows.append((source, serial, k + 3, min(c, total), bool(long_), bool(before), bool(after), own.tolist()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    own = blocks[first : first + 256]
+                    rows = [(source, serial, k + 3, min(c, total), bool(long_), bool(before), bool(after)) for k, (c, long_, before, after) in enumerate(own, first)]
+                    cut = [E.cut(x, c, E.BLOCKSIZES[long_]) for c, long_, _, _ in own]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)), planar(cut)], names=names)
 
     return streams.select("source", "serial", "samples").mapInArrow(run, PLANNED)
 
@@ -52,19 +48,23 @@ def encode(streams: DataFrame, config: E.Config) -> DataFrame:
     def run(batches):
         enc = _encoder(config)
         for b in batches:
-            cols = b.to_pydict()
-            data = [enc.block(np.array(x, dtype=np.float32), *f) for x, *f in zip(cols["samples"], cols["is_long"], cols["before"], cols["after"], strict=True)]
+            flags = (b.column(k).to_pylist() for k in (4, 5, 6))
+            data = enc.blocks(list(zip(from_planar(b.column(7)), *flags, strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([False] * len(data)), pa.array(data, pa.binary())], names=["source", "serial", "packet", "granule", "flush", "data"])
 
     # blocks are dealt anew, so that one long stream is coded by many tasks
-    audio = plan_blocks(streams).repartition("source", "serial", "packet").mapInArrow(run, PACKETS)
+    tasks = int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    audio = plan_blocks(streams).repartition(tasks, "source", "serial", F.floor(F.col("packet") / 64)).mapInArrow(run, PACKETS)
     heads = [(k, k != 1, h) for k, h in enumerate(_encoder(config).headers())]
     head = F.array(*(F.struct(F.lit(k).cast("long").alias("packet"), F.lit(0).cast("long").alias("granule"), F.lit(f).alias("flush"), F.lit(h).alias("data")) for k, f, h in heads))
     return streams.select("source", "serial", F.inline(head)).unionByName(audio)
 
 
+def ogg_pages(streams: DataFrame, config: E.Config) -> DataFrame:
+    """(source, serial, page, content): the pages of a file per stream."""
+    return ogg.paginate(encode(streams, config))
+
+
 def ogg_files(streams: DataFrame, config: E.Config) -> DataFrame:
-    """(source, content): a whole file per stream."""
-    pages = ogg.paginate(encode(streams, config))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "content"))), lambda p: F.hex(p["content"])), "")
-    return pages.groupBy("source").agg(F.unhex(joined).alias("content"))
+    """(source, content): a whole file per stream. files.write_ogg() writes larger ones."""
+    return ogg.joined(ogg_pages(streams, config))

@@ -10,7 +10,7 @@ from spindrift.functions import audio
 from spindrift.functions.codebook import Invalid
 from spindrift.functions.encoder import Config
 from spindrift.operators.decode import decode
-from spindrift.operators.encode import ogg_files
+from spindrift.operators.encode import ogg_pages
 from spindrift.sources import ogg
 
 LINKS = "source string, link int, serial long, first long, last long"
@@ -56,22 +56,26 @@ def concatenated(pcm: DataFrame) -> DataFrame:
     return pcm.withColumn("at", F.coalesce(F.sum(F.size("samples")).over(before), F.lit(0)).cast("long"))
 
 
+def decode_pages(pages: DataFrame, strict: bool) -> DataFrame:
+    """(source, link, serial, chan, packet, rate, position, samples, at) of PAGES."""
+    return concatenated(decode(linked(ogg.packets_of(pages, strict), alike=True), strict))
+
+
 def decode_files(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """(source, link, serial, chan, packet, rate, position, samples, at) of (source, content):
     position counts in the link, at in the file. FAILFAST raises on damage; links that
     differ in rate or channels always do."""
     strict = {"PERMISSIVE": False, "FAILFAST": True}[mode]
-    return concatenated(decode(linked(ogg.packets_of(ogg.pages_of(files, strict), strict), alike=True), strict))
+    return decode_pages(ogg.pages_of(files, strict), strict)
 
 
 def read_ogg(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """decode_files() of all .ogg files below path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ogg").load(path)
-    return decode_files(files.select(F.col("path").alias("source"), "content"), mode)
+    """decode_files() of all .ogg files below path, of any size."""
+    return decode_pages(ogg.ogg_pages(spark, path, mode, "*.ogg"), {"PERMISSIVE": False, "FAILFAST": True}[mode])
 
 
 def write_ogg(streams: DataFrame, path: str, config: Config) -> None:
-    """Codes (source, serial, samples) and writes a file for each source."""
-    from spindrift.sources.sink import write_files
+    """Codes (source, serial, samples) and writes a file for each source, page by page."""
+    from spindrift.sources.sink import write_pages
 
-    write_files(ogg_files(streams, config), path)
+    write_pages(ogg_pages(streams, config), path)

@@ -16,9 +16,7 @@ def a3_ogg_round_trip(spark, sf):
     """A stream for each document, its words as packets: to pages, to files, and back."""
     words = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit(1).cast("long").alias("serial"), F.posexplode(F.split("text", " ", -1)).alias("packet", "word"))
     rows = words.select("source", "serial", F.col("packet").cast("long").alias("packet"), F.lit(0).cast("long").alias("granule"), F.lit(False).alias("flush"), F.encode("word", "utf-8").alias("data"))
-    pages = ogg.paginate(rows, 1000)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "content"))), lambda p: F.hex(p["content"])), "")
-    files = pages.groupBy("source").agg(F.unhex(joined).alias("content"))
+    files = ogg.joined(ogg.paginate(rows, 1000))
     found = ogg.packets_of(ogg.pages_of(files, strict=True), strict=True)
     return found.select("source", "packet", F.sha2("data", 256).alias("digest"))
 
@@ -35,9 +33,3 @@ def g11_decode_length(spark, sf):
     files = E.ogg_files(_streams(spark, sf), Config(8000, 1, 5.0))
     pcm = D.decode(ogg.packets_of(ogg.pages_of(files, strict=True), strict=True), strict=True)
     return pcm.groupBy("source", "chan").agg(F.min("position").cast("int").alias("first"), F.sum(F.size("samples")).alias("samples"))
-
-
-@query()
-def j9_encode_packets(spark, sf):
-    """Sizes and granule positions of coded packets."""
-    return E.encode(_streams(spark, sf), Config(8000, 1, 5.0)).select("source", "packet", "granule", F.octet_length("data").cast("long").alias("bytes"))

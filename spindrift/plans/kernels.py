@@ -18,7 +18,7 @@ from spindrift.operators import encode as E
 from spindrift.operators import files
 from spindrift.operators import signals as G
 from spindrift.plans.codec import _streams
-from spindrift.plans.registry import PACKETS, PAIRS, SAMPLES, blocks, int_pairs, load, packets, query
+from spindrift.plans.registry import PACKETS, PAIRS, SAMPLES, SIGNAL, blocks, int_pairs, load, packets, query
 from spindrift.sources import ogg, pcm
 
 
@@ -88,7 +88,7 @@ def d3_comments(spark, sf):
     return _rows(load(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey long, vendor string, segments string", each)
 
 
-@query("select cast(c as int) as channels, true as same, 12 as books, 2 as modes from range(1, 9) t(c)")
+@query("select cast(c as int) as channels, true as same, 13 as books, 2 as modes from range(1, 9) t(c)")
 def d4_setup_round_trip(spark, sf):
     """Setup headers of all channel counts: written, read and compared."""
 
@@ -246,18 +246,61 @@ def i13_forward_coupling(spark, sf):
     return int_pairs(spark, sf).select("l_orderkey", "l_linenumber", F.when(used, c["m"]).otherwise(F.lit(0)).alias("m"), F.when(used, c["a"]).otherwise(F.lit(0)).alias("a"))
 
 
-@query()
+#: The block plan by its recurrence: segment energies, jumps, then block after block.
+PLAN = """(with recursive v as (select event_type as source, pos, cast(v as float) as v from """ + SIGNAL + """),
+n as materialized (select source, count(*) as total, (count(*) + 63) // 64 + 1 as segs from v group by 1),
+g as (select source, unnest(range(64 * segs)) as pos from n),
+d as (select source, pos, coalesce(v, cast(0 as float)) - coalesce(lag(v) over (partition by source order by pos), cast(0 as float)) as d from (select g.source, g.pos, coalesce(v.v, cast(0 as float)) as v from g left join v on v.source = g.source and v.pos = g.pos)),
+e as materialized (select source, pos // 64 as seg, sum(cast(d as double) * cast(d as double)) as e from d group by 1, 2),
+j as (select source, seg, e > 0.000064 and e > 12 * greatest(coalesce(sum(e) over (partition by source order by seg rows between 4 preceding and 1 preceding), 0) / 4, 0.0000064) as jump from e),
+h as materialized (select source, list_prepend(0, list(c order by seg)) as hits from (select source, seg, sum(cast(jump as int)) over (partition by source order by seg) as c from j) group by 1),
+b as (select n.source, cast(0 as bigint) as k, cast(0 as bigint) as centre, hits[least(16, segs) + 1] = hits[1] as is_long, true as was_long, total, segs, hits from n join h on h.source = n.source
+union all select source, k + 1, centre + (case when is_long then 512 else 64 end) + (case when after then 512 else 64 end), after, is_long, total, segs, hits
+from (select *, hits[least((centre + (case when is_long then 1024 else 576 end) + 1024 + 63) // 64, segs) + 1] = hits[least(greatest((centre + (case when is_long then 1024 else 576 end) - 512) // 64, 0), segs) + 1] as after from b) where centre < total)
+select source, k + 3 as packet, least(centre, total) as granule, is_long, was_long as before, hits[least((centre + (case when is_long then 1024 else 576 end) + 1024 + 63) // 64, segs) + 1] = hits[least(greatest((centre + (case when is_long then 1024 else 576 end) - 512) // 64, 0), segs) + 1] as after from b)"""
+
+
+@query(f"select source, packet, granule, is_long, before, after from {PLAN}")
 def i4_block_plan(spark, sf):
     """Block sequence of each signal."""
     return E.plan_blocks(_streams(spark, sf)).select("source", "packet", "granule", "is_long", "before", "after")
 
 
-@query("select cast(place as int) as book, entries, dims from (values (0, 64, 1), (1, 4, 1), (2, 16, 1), (3, 128, 1), (4, 64, 2), (5, 81, 4), (6, 25, 2), (7, 81, 2), (8, 289, 2), (9, 33, 1), (10, 15, 1), (11, 63, 1)) t(place, entries, dims)")
+@query(f"select source, packet, granule, true as same from {PLAN} union all select distinct event_type, cast(p as bigint), 0, true from events, range(3) t(p)")
+def j9_encode_packets(spark, sf):
+    """Granule positions of coded packets, and whether pushing the samples in pieces of 300
+    gives the same packets."""
+    config = encoder.Config(8000, 1, 5.0)
+    streams = _streams(spark, sf)
+
+    def each(source, samples):
+        x, live = np.array(samples, dtype=np.float32), encoder.Push(encoder.Encoder(config))
+        out = [(k, 0, h) for k, h in enumerate(live.encoder.headers())]
+        for at in range(0, x.shape[1], 300):
+            out += live.push(x[:, at : at + 300])
+        return [(source, k, g, data) for k, g, data in out + live.finish()]
+
+    pushed = _rows(streams.select("source", "samples"), "source string, packet long, g long, pushed binary", each)
+    both = E.encode(streams, config).join(pushed, ["source", "packet"], "full")
+    return both.select("source", "packet", "granule", F.coalesce((F.col("data") == F.col("pushed")) & (F.col("granule") == F.col("g")), F.lit(False)).alias("same"))
+
+
+_LATTICES = ", ".join(f"({5 + k}, {(2 * t + 1) ** d}, {d})" for k, (d, t, _) in enumerate(encoder.LATTICES))
+
+
+@query(f"select cast(place as int) as book, cast(entries as int) as entries, cast(dims as int) as dims from (values (0, 256, 1), (1, 8, 1), (2, 24, 1), (3, 128, 1), (4, 81, 2), {_LATTICES}) t(place, entries, dims)")
 def j3_codebooks(spark, sf):
     return spark.createDataFrame([(k, len(b.lengths), b.dims) for k, b in enumerate(encoder.codebooks())], "book int, entries int, dims int")
 
 
-@query()
+@query("""with recursive s as (select * from (values (128, 16), (1024, 32)) t(half, n)),
+z as materialized (select half, n, k, 13.0 * atan(0.00076 * (k * 22050.0 / half)) + 3.5 * atan(pow(k * 22050.0 / half / 7500.0, 2)) as z from (select *, unnest(range(1, half)) as k from s)),
+t as (select half, n, j, (13.0 * atan(0.00076 * 22050.0) + 3.5 * atan(pow(22050.0 / 7500.0, 2))) * j / (n + 1) as z from (select *, unnest(range(1, n + 1)) as j from s)),
+p as (select distinct half, k from (select t.half, arg_min(z.k, abs(z.z - t.z)) as k from t join z using (half) group by t.half, t.j)),
+l as (select half, list(k order by k) as ks from p group by half),
+q as (select half, ks, 0 as a, len(ks) // 4 * 4 as b, 0 as level, 0 as place from l
+union all select half, ks, case when side = 0 then a else (a + b) // 2 + 1 end, case when side = 0 then (a + b) // 2 else b end, level + 1, 2 * place + side from q, range(2) x(side) where a < b)
+select 2 * half as blocksize, cast(i as int) as i, cast(x as int) as x from (select half, 1 + row_number() over (partition by half order by level, place) as i, ks[(a + b) // 2 + 1] as x from q where a < b union all select half, 0, 0 from s union all select half, 1, half from s)""")
 def j4_floor_posts(spark, sf):
     """Posts of both block sizes in the order in which they are coded."""
     return spark.createDataFrame([(n, i, x) for n in encoder.BLOCKSIZES for i, x in enumerate(encoder.floor_for(n // 2).xs)], "blocksize int, i int, x int")

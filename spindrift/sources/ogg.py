@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from urllib.parse import quote
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 CONTINUED, BOS, EOS = 1, 2, 4
@@ -52,38 +54,75 @@ class Page:
         return whole[:22] + struct.pack("<I", crc(whole)) + whole[26:]
 
 
-def read_pages(data: bytes, strict: bool = False, counts: dict[str, int] | None = None) -> Iterator[Page]:
-    """All sound pages. What isn't one is searched byte by byte for the next capture
-    pattern; counts gets the bytes skipped and the pages whose checksum was wrong."""
+class Buffer:
+    """A window on an input that is read forwards in pieces; what is behind is given up."""
+
+    def __init__(self, read: Callable[[int], bytes], piece: int = 1 << 16):
+        self.read, self.piece, self.data, self.first, self.ended = read, piece, b"", 0, False
+
+    def fill(self, at: int, n: int) -> int:
+        """Reads until n bytes from place ``at`` on are held; how many there are, at most n."""
+        need = at - self.first + n
+        if len(self.data) < need and not self.ended:
+            parts, held = [self.data[at - self.first :]], len(self.data) - (at - self.first)
+            self.first = at
+            while held < n:
+                more = self.read(max(self.piece, n - held))
+                if not more:
+                    self.ended = True
+                    break
+                parts.append(more)
+                held += len(more)
+            self.data = b"".join(parts)
+        return min(n, self.first + len(self.data) - at)
+
+    def view(self, at: int, n: int) -> bytes:
+        return self.data[at - self.first : at - self.first + n]
+
+
+def read_pages(data: bytes | Buffer, strict: bool = False, counts: dict[str, int] | None = None) -> Iterator[Page]:
+    """All sound pages of bytes, or of a buffer, which then holds no more than a page and
+    a piece. What isn't a page is searched byte by byte for the next capture pattern;
+    counts gets the bytes skipped and the pages whose checksum was wrong."""
     counts = {} if counts is None else counts
     counts |= {"skipped": 0, "bad": 0}
-    at = 0
-    while at + 27 <= len(data):
-        if data[at : at + 5] != b"OggS\0":
+    if not isinstance(data, Buffer):
+        pieces = iter((data,))
+        data = Buffer(lambda n: next(pieces, b""))
+    at, lost = 0, False
+    while data.fill(at, 27) == 27:
+        if data.view(at, 5) != b"OggS\0":
             if strict:
                 raise Damaged(f"no page at byte {at}")
-            there = data.find(b"OggS\0", at + 1)
-            there = there if there >= 0 else len(data)
+            there = data.data.find(b"OggS\0", at + 1 - data.first) + data.first
+            lost = there < data.first
+            if lost:  # the pattern may begin in the last bytes that are held
+                there = max(at + 1, data.first + len(data.data) - 4)
             counts["skipped"] += there - at
             at = there
             continue
-        n = data[at + 26]
-        lacing = data[at + 27 : at + 27 + n]
-        end = at + 27 + n + sum(lacing)
-        if len(lacing) < n or end > len(data):
+        lost = False
+        n = data.view(at + 26, 1)[0]
+        data.fill(at, 27 + n)
+        lacing = data.view(at + 27, n)
+        size = 27 + n + sum(lacing)
+        if len(lacing) < n or data.fill(at, size) < size:
             if strict:
                 raise Damaged("page cut short")
             return  # a page without its end ends the input
-        flags, granule, serial, sequence, check = struct.unpack_from("<BqIII", data, at + 5)
-        if crc(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != check:
+        whole = data.view(at, size)
+        flags, granule, serial, sequence, check = struct.unpack_from("<BqIII", whole, 5)
+        if crc(whole[:22] + b"\0\0\0\0" + whole[26:]) != check:
             if strict:
                 raise Damaged(f"checksum differs at byte {at}")
             counts["bad"] += 1
             counts["skipped"] += 1
             at += 1
             continue
-        yield Page(flags, granule, serial, sequence, lacing, data[at + 27 + n : end], at)
-        at = end
+        yield Page(flags, granule, serial, sequence, lacing, whole[27 + n :], at)
+        at += size
+    if lost:
+        counts["skipped"] += data.first + len(data.data) - at
 
 
 @dataclass
@@ -178,20 +217,40 @@ def write_pages(packets: Iterable[tuple[bytes, int, bool]], serial: int, target:
     yield emit(True, False)
 
 
-def ogg_pages(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """PAGES of all files below path. FAILFAST raises on damage; PERMISSIVE skips it and counts."""
+def ogg_pages(spark: SparkSession, path: str, mode: str = "PERMISSIVE", glob: str = "*") -> DataFrame:
+    """PAGES of all files below path whose names match. FAILFAST raises on damage; PERMISSIVE
+    skips it and counts. Files are read in pieces of 64 KiB, whatever their size; in stores
+    that only Spark reads, as wholes."""
     strict = {"PERMISSIVE": False, "FAILFAST": True}[mode]
-    return pages_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source"), "content"), strict)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    scheme = path.split("://")[0] if "://" in path else "file"
+    if scheme not in ("file", "s3", "s3a", "gs", "hdfs", "abfss"):
+        return pages_of(found.select(F.col("path").alias("source"), "content"), strict)
+    return _pages(found.select(F.col("path").alias("source")), strict, _opened)
+
+
+def _opened(uri: str) -> Buffer:
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        system, path = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        system, path = fs.FileSystem.from_uri(quote(uri.replace("s3a:", "s3:", 1), safe=":/@"))
+    return Buffer(system.open_input_file(path).read)
 
 
 def pages_of(files: DataFrame, strict: bool = False) -> DataFrame:
     """PAGES of (source, content). A file is one task's; its pages leave it one by one."""
+    return _pages(files.select("source", "content"), strict, None)
+
+
+def _pages(files: DataFrame, strict: bool, opened: Callable[[str], Buffer] | None) -> DataFrame:
     names = [c.split()[0] for c in PAGES.split(", ")]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches):
         for b in batches:
-            for source, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sources = b.column(0).to_pylist()
+            for source, content in zip(sources, map(opened, sources) if opened else b.column(1).to_pylist(), strict=True):
                 counts, rows, before = {}, [], {"skipped": 0, "bad": 0}
                 for k, p in enumerate(read_pages(content or b"", strict, counts)):
                     rows.append((source, k, p.offset, p.flags, p.granule, p.serial, p.sequence, list(p.lacing), p.body, counts["skipped"] - before["skipped"], counts["bad"] - before["bad"]))
@@ -202,25 +261,47 @@ def pages_of(files: DataFrame, strict: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return files.select("source", "content").mapInArrow(run, PAGES)
+    return files.mapInArrow(run, PAGES)
+
+
+def _streamed(df: DataFrame, keys: list[str], order: str, columns: list[str], schema: str, each: Callable[[tuple, Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """Rows that each(key, rows in order) gives for every group: a group is one task's,
+    sorted by Spark, and read and written row by row, so that none is held as a whole."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows_of(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                yield from zip(*(c.to_pylist() for c in b.slice(at, 1000).columns), strict=True)
+
+    def run(batches):
+        n, held, size = len(keys), [], 0
+        for key, rows in groupby(rows_of(batches), key=lambda r: r[:n]):
+            for row in each(key, (r[n:] for r in rows)):
+                held.append(row)
+                size += sum(len(x) for x in row if isinstance(x, bytes))
+                if len(held) >= 1000 or size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    dealt = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInArrow(run, schema)
 
 
 def packets_of(pages: DataFrame, strict: bool = False) -> DataFrame:
     """PACKETS of PAGES, a stream at a time, in page order."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("page")
+    def each(key, rows):
         counts: dict[str, int] = {}
-        own = (Page(f, g, s, q, bytes(x.astype(np.uint8)), b, place=k) for f, g, s, q, x, b, k in zip(frame["flags"], frame["granule"], frame["serial"], frame["sequence"], map(np.asarray, frame["lacing"]), frame["body"], frame["page"], strict=True))
-        rows, lost = [], 0
+        own = (Page(f, g, key[1], q, bytes(x), b, place=k) for k, f, g, q, x, b in rows)
+        lost = 0
         for k, p in enumerate(read_packets(own, strict, counts)):
-            rows.append((*key, k, p.granule, p.bos, p.eos, p.data, counts["lost"] - lost, p.page))
+            yield (*key, k, p.granule, p.bos, p.eos, p.data, counts["lost"] - lost, p.page)
             lost = counts["lost"]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PACKETS.split(", ")])
-        out["granule"] = out["granule"].astype("Int64")
-        return out
 
-    return pages.groupBy("source", "serial").applyInPandas(run, PACKETS)
+    return _streamed(pages, ["source", "serial"], "page", ["page", "flags", "granule", "sequence", "lacing", "body"], PACKETS, each)
 
 
 def checksums(df: DataFrame, key: str, data: str) -> DataFrame:
@@ -238,12 +319,16 @@ def checksums(df: DataFrame, key: str, data: str) -> DataFrame:
 def paginate(packets: DataFrame, target: int = 4096) -> DataFrame:
     """(source, serial, page, content): pages of (source, serial, packet, granule, flush, data), a stream a task."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("packet")
-        items = zip(frame["data"], frame["granule"], frame["flush"], strict=True)
-        return pd.DataFrame([(*key, k, p.to_bytes()) for k, p in enumerate(write_pages(items, int(key[1]), target))], columns=["source", "serial", "page", "content"])
+    def each(key, rows):
+        for k, p in enumerate(write_pages(((data, granule, flush) for _, granule, flush, data in rows), key[1], target)):
+            yield (*key, k, p.to_bytes())
+
+    return _streamed(packets, ["source", "serial"], "packet", ["packet", "granule", "flush", "data"], "source string, serial long, page long, content binary", each)
+
 
-    return packets.groupBy("source", "serial").applyInPandas(run, "source string, serial long, page long, content binary")
+def joined(pages: DataFrame) -> DataFrame:
+    """(source, content) of (source, page, content): the pages one after another."""
+    return _streamed(pages, ["source"], "page", ["page", "content"], "source string, content binary", lambda key, rows: [(*key, b"".join(content for _, content in rows))])
 
 
 def xiph_lace(headers: list[bytes]) -> bytes:

@@ -58,6 +58,31 @@ def ogg_headers(spark: SparkSession, path: str) -> DataFrame:
     return headers_of(_files(spark, path, "*.ogg"))
 
 
+def planar(blocks: list[np.ndarray]) -> pa.Array:
+    """array<array<float>> of (channels x samples) blocks, without a Python number each."""
+    inner = np.cumsum([0, *(x.shape[1] for x in blocks for _ in x)], dtype=np.int32)
+    outer = np.cumsum([0, *(len(x) for x in blocks)], dtype=np.int32)
+    flat = np.concatenate([np.ascontiguousarray(x, dtype=np.float32).ravel() for x in blocks]) if blocks else np.zeros(0, dtype=np.float32)
+    return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(flat)))
+
+
+def from_planar(column: pa.Array) -> list[np.ndarray]:
+    """The (channels x samples) blocks of an array<array<float>> column; nulls count as 0.
+    Channels of a row must have the same length."""
+    inner = column.flatten()
+    sizes, counts = inner.value_lengths().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    out, at, first = [], 0, 0
+    for n in counts.tolist():
+        own = sizes[first : first + n]
+        if n and (own != own[0]).any():
+            raise ValueError("channels differ in length")
+        size = int(own[0]) if n else 0
+        out.append(flat[at : at + n * size].reshape(n, size))
+        at, first = at + n * size, first + n
+    return out
+
+
 def raw_pcm(files: DataFrame, channels: int) -> DataFrame:
     """(source, samples array<array<float>> by channel) of interleaved little-endian 16-bit
     content; bytes after the last whole frame are left out."""
@@ -67,8 +92,8 @@ def raw_pcm(files: DataFrame, channels: int) -> DataFrame:
             out = []
             for content in b.column(1).to_pylist():
                 n = len(content or b"") // (2 * channels)
-                out.append((np.frombuffer(content or b"", "<i2", n * channels).reshape(n, channels).T / np.float32(32768)).astype(np.float32).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.list_(pa.float32())))], names=["source", "samples"])
+                out.append((np.frombuffer(content or b"", "<i2", n * channels).reshape(n, channels).T / np.float32(32768)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([b.column(0), planar(out)], names=["source", "samples"])
 
     return files.select("source", "content").mapInArrow(run, "source string, samples array<array<float>>")
 

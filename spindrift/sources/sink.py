@@ -1,4 +1,5 @@
-"""Sink of whole files: a Python data source that writes (source, content) rows."""
+"""Sink of whole files: a Python data source that writes (source, content) rows, or
+(source, page, content) rows, those of a source one after another."""
 
 from __future__ import annotations
 
@@ -33,8 +34,8 @@ class FileWriter(DataSourceWriter):
     """Tasks write below a folder of their own; the commit moves whole files into place, so
     that tasks run twice or lost leave nothing behind."""
 
-    def __init__(self, path: str, ending: str, overwrite: bool):
-        self.path, self.ending, self.overwrite, self.job = path, ending, overwrite, uuid.uuid4().hex
+    def __init__(self, path: str, ending: str, overwrite: bool, paged: bool = False):
+        self.path, self.ending, self.overwrite, self.paged, self.job = path, ending, overwrite, paged, uuid.uuid4().hex
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else "file://" + posixpath.abspath(self.path))
@@ -43,14 +44,20 @@ class FileWriter(DataSourceWriter):
         system, root = self._open()
         own = f"{root}/{PENDING}-{self.job}/{uuid.uuid4().hex}"
         system.create_dir(own, recursive=True)
-        names = []
+        names, last, out = [], None, None
         for row in iterator:
             if row.source is None:
                 raise ValueError("a file needs a source")
-            at = f"{own}/{len(names)}"
-            with system.open_output_stream(at) as out:
-                out.write(bytes(row.content or b""))
-            names.append((at, file_name(row.source, self.ending)))
+            if out is None or not self.paged or row.source != last:
+                if out is not None:
+                    out.close()
+                at = f"{own}/{len(names)}"
+                out = system.open_output_stream(at)
+                names.append((at, file_name(row.source, self.ending)))
+                last = row.source
+            out.write(bytes(row.content or b""))
+        if out is not None:
+            out.close()
         return Written(names)
 
     def commit(self, messages) -> None:
@@ -84,7 +91,7 @@ class OggFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if {"source", "content"} - set(schema.names):
             raise ValueError("columns source and content are needed")
-        return FileWriter(self.options["path"], self.options.get("ending", ".ogg"), overwrite)
+        return FileWriter(self.options["path"], self.options.get("ending", ".ogg"), overwrite, "page" in schema.names)
 
 
 def register(spark: SparkSession) -> None:
@@ -95,3 +102,10 @@ def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
     """Writes each row's content to a file that is named after its source."""
     register(files.sparkSession)
     files.select("source", "content").write.format("ogg").mode(mode).save(path)
+
+
+def write_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes (source, page, content) to a file for each source; no file is held as a whole."""
+    register(pages.sparkSession)
+    sorted_ = pages.select("source", "page", "content").repartition("source").sortWithinPartitions("source", "page")
+    sorted_.write.format("ogg").mode(mode).save(path)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spindrift.functions import audio
+from spindrift.functions import audio, batch
 from spindrift.functions.codebook import Invalid
 from spindrift.sources.ogg import EOS, Page, read_packets
 
@@ -55,7 +55,7 @@ class Live:
             if strict:
                 raise
             return
-        block = audio.decode_packet(*own, data) if data else None
+        block = batch.decode_packets(self.heads[0], self.heads[2], [data])[0] if data else None
         if block is None and strict and data:
             raise Invalid(f"packet {k} is no audio")
         pcm = np.zeros((own[0].channels, 0), dtype=np.float32)

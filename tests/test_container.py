@@ -6,7 +6,7 @@ from spindrift.functions.bits import BitReader, BitWriter, EndOfPacket, ilog
 from spindrift.functions.codebook import Codebook, Invalid, Lookup, codewords, lookup1, unpack_float
 from spindrift.sources import ogg
 
-SIZES = [0, 1, 254, 255, 256, 510, 70000, 3, 65025, 65026, 9]
+SIZES = [5, 0, 255, 254, 765, 256, 2, 255 * 255 - 1, 255 * 256, 100_000, 0, 77]
 
 
 def data_of(sizes):
