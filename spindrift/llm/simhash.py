@@ -3,18 +3,21 @@
 A fingerprint's 32 segments of two bits map to their bit counts, a point of a grid
 with sides 0..2. The Manhattan distance of two points is at most the fingerprints'
 Hamming distance. Thermometer code (0, 1, 2 as 00, 01, 11) makes that distance a
-bit count. Within distance 2, at least two of four blocks of eight coordinates
-agree, so a range join needs only the grid cells of the six pairs of blocks; pairs
-are cut by the lower bound, then verified on all bits.
-
-A cell of more than ``cell_limit`` fingerprints isn't paired: its members are
-joined through the fingerprints that differ in one bit or none. Two fingerprints
-share such a neighbour exactly if they differ in at most two bits, and a neighbour
-has at most 65 members, whatever the cell's size.
+bit count. With the segments in m blocks, points within distance 2 agree on at least
+m - 2 of them, so a range join needs only the grid cells of the choices of m - 2
+blocks; pairs are cut by the lower bound, then verified on all bits. m grows with the
+logarithm of the number of fingerprints, so that cells keep their size at any scale.
+
+A cell may still be crowded, where many texts are nearly the same. One of more than
+``cell_limit`` fingerprints isn't paired: its members are joined through the
+fingerprints that differ in one bit or none. Two fingerprints share such a neighbour
+exactly if they differ in at most two bits, and a neighbour has at most 65 members,
+whatever the cell's size.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -68,19 +71,29 @@ def _embed(fp: Column) -> Column:
     return any_.bitwiseOR(F.shiftleft(both, 1))
 
 
-def links(fps: DataFrame, bits: int = BITS, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def grid_blocks(n: int, bits: int = BITS) -> int:
+    """Blocks in which a random pair of n fingerprints meets in a cell at most one time
+    in eight a fingerprint: a segment's bit count holds 1.5 bits of information."""
+    return next((m for m in range(bits + 2, 17) if 1.5 * 32 * (m - bits) / m >= math.log2(max(n, 2)) + 3), 16)
+
+
+def links(fps: DataFrame, bits: int = BITS, cell_limit: int = CELL_LIMIT, m: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all
     pairs within ``bits`` (0, 1 or 2) bits."""
     assert 0 <= bits <= 2
+    m = m or grid_blocks(fps.count(), bits)
     points = fps.select("fp", _embed(F.col("fp")).alias("pt"))
-    blocks = [F.shiftrightunsigned("pt", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    cells = F.array(*(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for n, (i, j) in enumerate(combinations(range(4), 2))))
-    grid = written(points.select("fp", "pt", F.explode(cells).alias("cell")), "grid")
-    sizes = grid.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    member = grid.join(sizes, "cell")
+    edges = [32 * i // m for i in range(m + 1)]
+    masks = [sum(3 << 2 * k for k in range(x, y)) for x, y in zip(edges, edges[1:], strict=False)]
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    chosen = list(combinations(range(m), m - bits))
+    cells = F.array(*(F.struct(F.lit(n).alias("choice"), F.col("pt").bitwiseAND(signed(sum(masks[i] for i in c))).alias("part")) for n, c in enumerate(chosen)))
+    grid = written(points.select("fp", "pt", F.inline(cells)), "grid")
+    sizes = grid.groupBy("choice", "part").agg(F.count("*").alias("n")).where("n > 1")
+    member = grid.join(sizes, ["choice", "part"])
     few = member.where(F.col("n") <= cell_limit)
-    x, y = few.select("cell", F.col("fp").alias("a"), F.col("pt").alias("pa")), few.select("cell", F.col("fp").alias("b"), F.col("pt").alias("pb"))
-    pairs = x.join(y, "cell").where("a < b").where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= bits)
+    x, y = few.select("choice", "part", F.col("fp").alias("a"), F.col("pt").alias("pa")), few.select("choice", "part", F.col("fp").alias("b"), F.col("pt").alias("pb"))
+    pairs = x.join(y, ["choice", "part"]).where("a < b").where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= bits)
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
     # hot cells
     flips = [F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64))]

@@ -53,8 +53,8 @@ def test_groups_equal_brute_force(spark, limit):
 
 
 @pytest.mark.parametrize("limit", [32, 1])
-@pytest.mark.parametrize("bits", [0, 1, 2])
-def test_links_of_close_fingerprints(spark, limit, bits):
+@pytest.mark.parametrize(("bits", "m"), [(0, None), (1, None), (2, None), (2, 7), (1, 16)])
+def test_links_of_close_fingerprints(spark, limit, bits, m):
     r = random.Random(6)
     base = [r.getrandbits(64) for _ in range(4)] + [0]
     fps = set(base)
@@ -63,7 +63,7 @@ def test_links_of_close_fingerprints(spark, limit, bits):
             fps.add(b ^ sum(1 << i for i in r.sample(range(64), r.randint(1, 4))))
     sign = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(sign(x),) for x in fps], "fp long")
-    got = {x.node: x.root for x in components(simhash.links(df, bits, limit)).collect()}
+    got = {x.node: x.root for x in components(simhash.links(df, bits, limit, m)).collect()}
     nodes = [sign(x) for x in fps]
     least = least_reachable(nodes, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= bits)
     assert {n: got.get(n, n) for n in nodes} == least
@@ -80,3 +80,20 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_blocks_grow_with_the_number_of_fingerprints():
+    sizes = [simhash.grid_blocks(n) for n in (0, 10, 10**5, 10**7, 10**9, 10**11)]
+    assert sizes == sorted(sizes) and sizes[2] == 4 and 4 < sizes[-1] <= 16
+    assert simhash.grid_blocks(10**9, 0) >= 2
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts of several slices of shingles, alike but for a word at the end."""
+    monkeypatch.setattr(simhash, "_SLICE", 1000)
+    ws = [f"w{i * 7919 % 3001}" for i in range(5500)]
+    texts = [" ".join(ws), " ".join([*ws[:-1], "other"]), " ".join(ws[::-1])]
+    assert [simhash.fingerprint(t) for t in texts] == [slow_fingerprint(t) for t in texts]
+    got = {x.doc_id: x.component_id for x in simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    fps = [slow_fingerprint(t) for t in texts]
+    assert got == least_reachable([0, 1, 2], lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
