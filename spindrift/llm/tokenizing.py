@@ -14,7 +14,7 @@ CACHE = 400_000
 # What the vocabulary's pre-tokenizer makes of lower-case Latin-1 text without odd
 # white space: the same alternatives, with Latin-1's letters and numbers spelled out.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0ca-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-_BEYOND = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]|<\\|")
+_ODD = bytes([*range(0x1C, 0x20), 0x85, 0xA0])
 _LATIN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -34,16 +34,25 @@ def _spelling() -> dict[int, int]:
     return dict(zip([*plain, *rest], [*plain, *range(256, 256 + len(rest))], strict=True))
 
 
+def _plain(text: str) -> bool:
+    """Whether the text is Latin-1 without odd white space or marks of special tokens."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(data.translate(None, _ODD)) == len(data) and b"<|" not in data
+
+
 class _Words(dict):
-    """Words of other text, each encoded as a whole."""
+    """Words between white space, each encoded as a whole by ids."""
 
-    def __init__(self, whole):
+    def __init__(self, ids):
         super().__init__()
-        self.whole = whole
+        self.ids = ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(self) < CACHE // 4:
+        ids = self.ids(word)
+        if len(self) < CACHE:
             self[word] = ids
         return ids
 
@@ -65,7 +74,7 @@ class Encoder(dict):
             spec = json.load(f)
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norm = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers") or []]
-        self.words = _Words(self.whole)
+        self.words, self.plain = _Words(self.whole), _Words(lambda word: b"".join(map(self.__getitem__, _PIECES.findall(word))))
         self.known = pre[0].get("pattern") == {"Regex": _LATIN} and pre[0].get("invert") and norm == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor")
 
     def __missing__(self, piece: str) -> bytes:
@@ -84,8 +93,8 @@ class Encoder(dict):
             return b""
         if not self.known:
             return self.whole(text)
-        if _BEYOND.search(text) is None:
-            return b"".join(map(self.__getitem__, _PIECES.findall(text.lower())))
+        if _plain(text):  # no piece has white space in it
+            return b"".join(map(self.plain.__getitem__, text.lower().split()))
         return b"".join(map(self.words.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
 
 

@@ -114,3 +114,27 @@ def test_plan_places_all_and_overfills_none(histogram):
         else:
             first_fit.append(x)
     assert len(bins) <= len(first_fit) * 1.25 + 1
+
+
+def test_checksums_join():
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = r.randbytes(r.randint(0, 99)), r.randbytes(r.choice([0, 1, 7, 5000]))
+        assert tokens.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_blocks_are_bounded(spark, monkeypatch, tmp_path):
+    """Documents of many blocks, one of them ending where a block does."""
+    monkeypatch.setattr(tokens, "BLOCK_IDS", 50)
+    ids = [len(want_ids(t, 2)) for t in ("a " * 1000, "b " * 49, "")]
+    df = spark.createDataFrame([(1, "a " * 1000), (2, "b " * 49), (3, None), (3, "c")], "doc_id long, text string").coalesce(1)
+    path = f"file://{tmp_path}/t"
+    tokens.write_tokens(df, path)
+    blocks = spark.read.schema(tokens.BLOCKS).parquet(path).collect()
+    assert sum(sum(b.counts) for b in blocks) == sum(ids) + 2
+    assert all(sum(b.counts) <= 50 for b in blocks) and max(b.carried for b in blocks) >= 900
+    rows = {(r.doc_id, r.n_tokens): r for r in tokens.read_tokens(spark, path, with_ids=True).collect()}
+    for d, t in ((1, "a " * 1000), (2, "b " * 49), (3, None), (3, "c")):
+        want = want_ids(t or "", 2)
+        r = rows[d, len(want)]
+        assert r.ids == want and r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
