@@ -4,7 +4,7 @@ Both sides keep the smallest hash of ``gram`` words in each window of ``length``
 words, so any shared window shares a kept hash. Fingerprints join on the hash; a
 join pair is extended word by word on both sides and counts if the run reaches
 ``length`` words. An item shorter than that is one window; its fingerprint is the
-hash of all its words.
+hash of all its words, which is looked up at every place of a document.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import written
 from spindrift.llm.words import gram_hashes, let, upto, words
 
-#: Up to so many distinct benchmark fingerprints become a set in the scan, which
-#: spares all other positions the join; with more, every fingerprint is joined.
+#: Up to so many distinct benchmark fingerprints become a set in the scan. With more,
+#: hashes alone are joined first, and only places that are left get their words.
 SET_LIMIT = 50_000
+_PLACES = "array<struct<p:int,dh:bigint,dk:int,dshort:boolean>>"
 
 
 def _kept(h: Column, i: Column, w: int) -> Column:
@@ -25,9 +27,9 @@ def _kept(h: Column, i: Column, w: int) -> Column:
     return F.exists(starts, lambda s: F.element_at(h, i) <= F.array_min(F.slice(h, s, w)))
 
 
-def _around(ws: Column, i: Column, k: int, side: int) -> list[Column]:
+def _around(ws: Column, i: Column, k: Column, side: Column) -> list[Column]:
     """Words i..i+k-1 (from 1), up to ``side`` words before, nearest first, and after."""
-    before = F.least(i - 1, F.lit(side))
+    before = F.least(i - 1, side)
     left = F.when(before > 0, F.reverse(F.slice(ws, i - before, before))).otherwise(F.array().cast("array<string>"))
     return [F.slice(ws, i, k).alias("mid"), left.alias("left"), F.slice(ws, i + k, side).alias("right")]
 
@@ -39,14 +41,15 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def benchmark_fingerprints(items: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
-    """(h, k, item_id, mid, left, right): the kept hashes of all items with the words around them."""
+    """(h, k, short, item_id, mid, left, right): the kept hashes of all items with the words
+    around them; short is an item of fewer than ``length`` words, which is one window."""
     src = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("ws"))
     src = src.where(F.size("ws") > 0)
     side = length - gram
     hashes = gram_hashes(F.col("ws"), gram)
-    long_ = let(hashes, lambda h: F.transform(F.filter(upto(F.lit(1), F.size(h)), lambda i: _kept(h, i, side + 1)), lambda i: F.struct(F.element_at(h, i).alias("h"), F.lit(gram).alias("k"), *_around(F.col("ws"), i, gram, side))))
+    long_ = let(hashes, lambda h: F.transform(F.filter(upto(F.lit(1), F.size(h)), lambda i: _kept(h, i, side + 1)), lambda i: F.struct(F.element_at(h, i).alias("h"), F.lit(gram).alias("k"), F.lit(False).alias("short"), *_around(F.col("ws"), i, F.lit(gram), F.lit(side)))))
     none = F.array().cast("array<string>")
-    short = F.array(F.struct(F.xxhash64("ws").alias("h"), F.size("ws").alias("k"), F.col("ws").alias("mid"), none.alias("left"), none.alias("right")))
+    short = F.array(F.struct(F.xxhash64("ws").alias("h"), F.size("ws").alias("k"), F.lit(True).alias("short"), F.col("ws").alias("mid"), none.alias("left"), none.alias("right")))
     rows = src.select("item_id", F.inline(F.when(F.size("ws") >= length, long_).otherwise(short)))
     return rows.distinct()
 
@@ -65,36 +68,50 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     assert 0 < gram <= length
     marks = benchmark_fingerprints(items, item_id_col, item_text_col, length, gram)
     side = length - gram
-    kinds = {r.k for r in marks.select("k").distinct().collect()}  # at most ``length`` numbers
-    known = [r.h for r in marks.select("h").distinct().limit(set_limit + 1).collect()]
-    in_scan = len(known) <= set_limit
-
-    def found(ws: Column, k: int, wide: int, winnow: bool) -> Column:
-        def of(h: Column) -> Column:
-            at = upto(F.lit(1), F.size(h))
-            if in_scan:
-                at = F.filter(at, lambda i: F.element_at(h, i).isin(known))
-            if winnow:
-                at = F.filter(at, lambda i: _kept(h, i, wide + 1))
-            return F.transform(at, lambda i: F.struct((i - 1).alias("p"), F.element_at(h, i).alias("dh"), F.lit(k).alias("dk"), *[c.alias(f"d{n}") for c, n in zip(_around(ws, i, k, wide), ("mid", "left", "right"), strict=True)]))
-
-        return let(gram_hashes(ws, k), of)
-
-    def cands(ws: Column) -> Column:
-        parts = [found(ws, k, 0, False) for k in sorted(kinds) if k != gram and k < length]
-        if gram in kinds:
-            # items of exactly ``gram`` words are whole windows, so no winnowing then may drop a place
-            short_too = bool(marks.where((F.col("k") == gram) & (F.size("left") + F.size("right") == 0)).limit(1).count()) and length > gram
-            parts.append(found(ws, gram, side, not short_too))
-        elif length in kinds:
-            parts.append(found(ws, length, 0, False))
-        return F.concat(*parts) if parts else F.array().cast("array<struct<p:int,dh:bigint,dk:int,dmid:array<string>,dleft:array<string>,dright:array<string>>>")
-
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), cands(ws).alias("c"))).alias("x"))
-    rows = src.select("uid", "doc_id", F.col("x.n_words").alias("n_words"), F.explode_outer("x.c").alias("c")).select("uid", "doc_id", "n_words", "c.*")
-    both = rows.join(marks, (F.col("dh") == F.col("h")) & (F.col("dk") == F.col("k")) & (F.col("dmid") == F.col("mid")), "left")
+    kinds = sorted({(r.k, r.short) for r in marks.select("k", "short").distinct().collect()})  # at most ``length`` and one
+    found = marks.select("k", "short", "h").distinct()
+    known: dict[tuple[int, bool], list[int]] | None = {x: [] for x in kinds}
+    rows = found.limit(set_limit + 1).collect()
+    for r in rows:
+        known[r.k, r.short].append(r.h)
+    if len(rows) > set_limit:
+        known = None
+
+    def places(ws: Column) -> Column:
+        """Where a fingerprint of the benchmark may stand, those in the set if there is one."""
+
+        def of(k: int, short: bool):
+            def at(h: Column) -> Column:
+                on = upto(F.lit(1), F.size(h))
+                if known is not None:
+                    on = F.filter(on, lambda i: F.element_at(h, i).isin(known[k, short]))
+                if not short:
+                    on = F.filter(on, lambda i: _kept(h, i, side + 1))
+                return F.transform(on, lambda i: F.struct((i - 1).alias("p"), F.element_at(h, i).alias("dh"), F.lit(k).alias("dk"), F.lit(short).alias("dshort")))
+
+            return at
+
+        parts = [let(gram_hashes(ws, k), of(k, short)).cast(_PLACES) for k, short in kinds]
+        return F.concat(*parts) if parts else F.array().cast(_PLACES)
+
+    def with_words(ws: Column, at: Column) -> Column:
+        return F.transform(at, lambda x: F.struct(x["p"].alias("p"), x["dh"].alias("dh"), x["dk"].alias("dk"), x["dshort"].alias("dshort"), *[c.alias(f"d{n}") for c, n in zip(_around(ws, x["p"] + 1, x["dk"], F.when(x["dshort"], 0).otherwise(side)), ("mid", "left", "right"), strict=True)]))
+
+    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    n_words = lambda ws: F.size(ws).cast("long").alias("n_words")
+    if known is None:
+        src = written(src, "documents")
+        at = src.select("uid", F.inline(let(words(F.col("text")), places)))
+        at = at.join(found, (F.col("dh") == F.col("h")) & (F.col("dk") == F.col("k")) & (F.col("dshort") == F.col("short")), "left_semi")
+        at = at.groupBy("uid").agg(F.collect_list(F.struct("p", "dh", "dk", "dshort")).alias("at"))
+        src = src.join(at, "uid", "left").withColumn("at", F.coalesce("at", F.array().cast(_PLACES)))
+        own = let(words(F.col("text")), lambda ws: F.struct(n_words(ws), with_words(ws, F.col("at")).alias("c")))
+    else:
+        own = let(words(F.col("text")), lambda ws: F.struct(n_words(ws), let(places(ws), lambda at: with_words(ws, at)).alias("c")))
+    rows = src.select("uid", "doc_id", own.alias("x")).select("uid", "doc_id", F.col("x.n_words").alias("n_words"), F.explode_outer("x.c").alias("c")).select("uid", "doc_id", "n_words", "c.*")
+    both = rows.join(marks, (F.col("dh") == F.col("h")) & (F.col("dk") == F.col("k")) & (F.col("dshort") == F.col("short")) & (F.col("dmid") == F.col("mid")), "left")
     both = both.withColumn("l", F.when(F.col("h").isNotNull(), _same(F.col("left"), F.col("dleft")))).withColumn("r", F.when(F.col("h").isNotNull(), _same(F.col("right"), F.col("dright"))))
-    whole = (F.col("l") + F.col("k") + F.col("r") >= length) | ((F.col("k") < length) & (F.size("left") + F.size("right") == 0))
+    whole = F.col("short") | (F.col("l") + F.col("k") + F.col("r") >= length)
     hit = F.struct((F.col("p") - F.col("l")).alias("first"), (F.col("p") + F.col("k") + F.col("r") - 1).alias("last"))
     out = both.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"),

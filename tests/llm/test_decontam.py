@@ -55,3 +55,14 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [x[:4] for x in decontaminate(a, b).collect()] == [(1, 3, 0, 0)]
     assert decontaminate(a.limit(0), b).collect() == []
+
+
+@pytest.mark.parametrize("set_limit", [50_000, 0])
+def test_very_long_text(spark, set_limit):
+    """60,000 words with an item at either end, and items of four, five and ten words."""
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
+    items = [(1, item), (2, "one two three four five"), (3, "six seven eight nine")]
+    text = item + " " + " ".join(f"w{i * 7919 % 5003}" for i in range(60_000)) + " one two three four five " + item
+    docs = [(1, text), (2, "one two three four six seven eight nine ten"), (3, "two three four five six")]
+    got = sorted(tuple(x)[:6] for x in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), set_limit=set_limit).collect())
+    assert got == sorted(brute(docs[1:], items, 10) + [(1, 60_025, 25, 2, hashlib.sha256(b"1,2").hexdigest(), True)])
