@@ -58,3 +58,22 @@ def window(n: int, left: int, right: int) -> np.ndarray:
     rise = np.where(up < 0, 0.0, np.where(up < left // 2, slope(up, left / 2), 1.0))
     fall = np.where(down < 0, 1.0, np.where(down < right // 2, slope(right / 2 - 1 - down, right / 2), 0.0))
     return np.where(i < n // 2, rise, fall)
+
+
+def overlapped(before: list[np.ndarray], blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """The second half of each block before plus the first half of its block, aligned at
+    their centres; pairs of the same sizes are added at once."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(blocks)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(before, blocks, strict=True)):
+        kinds.setdefault((len(a), len(b)), []).append(i)
+    for (p, n), own in kinds.items():
+        shift, total = n // 4 - p // 4, p // 4 + n // 4
+        y = np.zeros((len(own), total))
+        tail = np.stack([before[i] for i in own])[:, p // 2 : p // 2 + total]
+        y[:, : tail.shape[1]] += tail
+        lo, hi = max(0, -shift), min(total, n - shift)
+        y[:, lo:hi] += np.stack([blocks[i] for i in own])[:, lo + shift : hi + shift]
+        for i, row in zip(own, y, strict=True):
+            out[i] = row
+    return out

@@ -107,7 +107,8 @@ def _round_div(q: Column, step: int) -> Column:
 
 
 def split(q: Column, passes: Column) -> Column:
-    """A residue value as its passes code it: up to three summands in steps of 495, 33 and 1."""
+    """A residue value as up to three summands in steps of 495, 33 and 1: fixed values, with
+    at most 31 of the largest and 7 of the middle step."""
     clamp = lambda c, n: F.greatest(F.lit(-n), F.least(F.lit(n), c))
     zero = F.lit(0).cast("long")
     fine = 33 * clamp(_round_div(q, 33), 7)

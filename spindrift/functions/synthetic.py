@@ -6,7 +6,6 @@ import numpy as np
 
 from spindrift.functions.encoder import LFE
 
-_MASK = (1 << 64) - 1
 #: Fixed values of the linear congruential generator of the noise.
 LCG_FACTOR, LCG_STEP, LCG_SEED = 6364136223846793005, 1442695040888963407, 0x12345678
 
@@ -40,38 +39,23 @@ def tones(rate: int, channels: int, seconds: float, noise: float = 0.06) -> np.n
     return out.astype(np.float32)
 
 
-class Xorshift:
-    """64-bit xorshift with shifts 13, 7 and 17; the state must not be 0."""
-
-    def __init__(self, state: int):
-        self.state = state & _MASK or 1
-
-    def next(self) -> int:
-        x = self.state
-        x ^= x << 13 & _MASK
-        x ^= x >> 7
-        self.state = x ^ (x << 17 & _MASK)
-        return self.state
-
-    def below(self, n: int) -> int:
-        return self.next() % max(n, 1)
-
-
-def damaged(data: bytes, state: int) -> tuple[str, bytes]:
-    """(kind, data) with up to 20 bits flipped, the end cut off, up to 299 bytes put in, or
-    a run of bytes taken out."""
-    r, out = Xorshift(state), bytearray(data)
-    kind = ("flip", "cut", "insert", "remove")[r.below(4)]
-    if kind == "flip" and data:
-        for _ in range(1 + r.below(20)):
-            at = r.below(len(out))
-            out[at] ^= 1 << r.below(8)
-    elif kind == "cut":
-        del out[r.below(len(out)) :]
-    elif kind == "insert":
-        at = r.below(len(out))
-        out[at:at] = bytes(r.next() & 255 for _ in range(r.below(300)))
-    elif kind == "remove":
-        at = r.below(len(out))
-        del out[at : at + r.below(len(out) - at)]
-    return kind, bytes(out)
+KINDS = ("flip", "cut", "insert", "remove")
+
+
+def damaged(data: bytes, seed: int) -> tuple[str, bytes]:
+    """(kind, data) with up to 16 bits inverted, the end cut off, up to 256 bytes put in, or
+    up to 256 bytes taken out. Numbers come from the generator: the first three give the
+    kind, the place and the amount."""
+    x = (lcg(3 + 256, seed % (1 << 64)) >> np.uint64(33)).astype(np.int64)
+    kind, at, amount, more = KINDS[x[0] % 4], int(x[1] % max(len(data), 1)), int(x[2] % 257), x[3:]
+    if kind == "cut":
+        return kind, data[:at]
+    if kind == "insert":
+        return kind, data[:at] + more[:amount].astype(np.uint8).tobytes() + data[at:]
+    if kind == "remove":
+        return kind, data[:at] + data[at + amount :]
+    out = np.frombuffer(data, dtype=np.uint8).copy()
+    if len(out):
+        places = more[: 1 + amount % 16]
+        np.bitwise_xor.at(out, places % len(out), (1 << (places // len(out) % 8)).astype(np.uint8))
+    return kind, out.tobytes()

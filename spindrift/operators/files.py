@@ -11,6 +11,7 @@ from spindrift.functions.codebook import Invalid
 from spindrift.functions.encoder import Config
 from spindrift.operators.decode import decode
 from spindrift.operators.encode import ogg_pages
+from spindrift.operators.signals import beside, running
 from spindrift.sources import ogg
 
 LINKS = "source string, link int, serial long, first long, last long"
@@ -52,8 +53,11 @@ def linked(packets: DataFrame, alike: bool = False) -> DataFrame:
 
 def concatenated(pcm: DataFrame) -> DataFrame:
     """Adds at, the place in the file: links follow one another without gaps."""
-    before = Window.partitionBy("source", "chan").orderBy("link", "packet").rowsBetween(Window.unboundedPreceding, -1)
-    return pcm.withColumn("at", F.coalesce(F.sum(F.size("samples")).over(before), F.lit(0)).cast("long"))
+    sums = pcm.groupBy("source", "chan", "link").agg(F.sum(F.size("samples")).alias("n"))
+    before = Window.partitionBy("source", "chan").orderBy("link").rowsBetween(Window.unboundedPreceding, -1)
+    links_ = sums.select("source", "chan", "link", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = running(pcm, ["source", "chan", "link"], ["packet"], {"at": F.size("samples")})
+    return beside(own, links_, ["source", "chan", "link"]).withColumn("at", (F.col("at") + F.col("before")).cast("long")).drop("before")
 
 
 def decode_pages(pages: DataFrame, strict: bool) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,8 +74,10 @@ def lsp_response(coefficients: list[float], omega: Column) -> Column:
 def lsp_curve(frames: DataFrame, bins: DataFrame, coefficients: list[float], map_size: int, amplitude_bits: int, offset: int) -> DataFrame:
     """Floor 0 curve: one value for each distinct map value, joined back to its bins. The
     bins are a stream's constants, 4096 at most."""
-    points = bins.select("m").distinct()
-    at = frames.join(F.broadcast(points))
+    points = [r.m for r in bins.select("m").distinct().limit(4097).collect()]
+    if len(points) > 4096:
+        raise ValueError("more than 4096 values in a floor's map")
+    at = frames.withColumn("m", F.explode(F.array(*map(F.lit, points)).cast("array<int>")))
     pq = lsp_response(coefficients, math.pi * F.col("m") / map_size)
     top = (1 << amplitude_bits) - 1
     value = F.exp(0.11512925 * (F.col("amplitude") * float(offset) / (top * F.sqrt(pq)) - offset))
@@ -84,14 +87,10 @@ def lsp_curve(frames: DataFrame, bins: DataFrame, coefficients: list[float], map
 
 def vq_vector(entry: Column, multiplicands: list[int], dims: int, minimum: float, delta: float, sequence: bool) -> Column:
     """Lookup type 1 vector of a codebook entry: base-n digits, least first, summed up if a sequence."""
-    values = F.array(*map(F.lit, multiplicands))
-    n = len(multiplicands)
-    digit = lambda d: (F.floor(entry / F.pow(F.lit(float(n)), d.cast("double"))) % n).cast("int")
-    plain = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.element_at(values, digit(d) + 1) * delta + minimum)
-    if not sequence:
-        return plain
-    none = F.array().cast("array<double>")
-    return F.aggregate(plain, none, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+    values, n = F.array(*map(F.lit, multiplicands)), len(multiplicands)
+    digits = [(F.floor(entry / n**d) % n).cast("int") + 1 for d in range(dims)]
+    plain = [F.element_at(values, d) * delta + minimum for d in digits]
+    return F.array(*(accumulate(plain) if sequence else plain))
 
 
 def blocksize(first_byte: Column, by_mode: list[int]) -> Column:

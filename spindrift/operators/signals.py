@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from spindrift.functions import mdct
 from spindrift.functions import scalar as S
@@ -102,18 +105,44 @@ def overlap_add(blocks: DataFrame, keys: list[str], order: str, samples: str) ->
     """(keys, order, samples): the second half of the block before plus the first half of
     this one, aligned at their centres; a stream's first block gives nothing."""
     w = Window.partitionBy(*keys).orderBy(order)
-    both = blocks.withColumn("prev", F.lag(samples).over(w)).where("prev is not null")
-    cur, prev = F.col(samples), F.col("prev")
-    np_, n = F.size(prev), F.size(cur)
-    shift = F.floor(n / 4).cast("int") - F.floor(np_ / 4).cast("int")
-    total = F.floor(np_ / 4).cast("int") + F.floor(n / 4).cast("int")
+    both = blocks.select(*keys, order, F.lag(samples).over(w).alias("prev"), F.col(samples).alias("cur")).where("prev is not null")
+    n = len(keys) + 1
+    schema = StructType([*both.schema.fields[:n], StructField("samples", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                out = mdct.overlapped(*(rows(b.column(n + k)) for k in (0, 1)))
+                ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))], names=schema.names)
+
+    return both.mapInArrow(run, schema)
 
-    def at(i: Column) -> Column:
-        a = F.when(np_ / 2 + i < np_, F.get(prev, (np_ / 2).cast("int") + i)).otherwise(0.0)
-        b = F.when((i + shift >= 0) & (i + shift < n), F.get(cur, i + shift)).otherwise(0.0)
-        return a.cast("double") + b.cast("double")
 
-    return both.select(*keys, order, F.transform(F.sequence(F.lit(0), total - 1), at).alias("samples"))
+def rows(column: pa.Array) -> list[np.ndarray]:
+    """The rows of an array column; nulls in them count as 0."""
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False)) if column.flatten().null_count else column.flatten().to_numpy()
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return np.split(flat, ends[:-1])
+
+
+def beside(df: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns that more has for its keys; null keys meet."""
+    other = more.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return df.join(other, same).drop(*(f"_{k}" for k in keys))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], run: int = 1 << 16) -> DataFrame:
+    """Adds sums over all rows before, by key. Only sums of runs of ``run`` numbers of the
+    first order column are added up over a whole stream; the rows of a run are one task's."""
+    part = df.withColumn("_run", F.floor(F.col(order[0]) / run))
+    by_run = part.groupBy(*keys, "_run").agg(*(F.sum(x).alias(f"_{n}") for n, x in sums.items()))
+    w = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    by_run = by_run.select(*keys, "_run", *(F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)).alias(f"_{n}") for n in sums))
+    own = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = beside(part, by_run, [*keys, "_run"])
+    return out.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(x).over(own), F.lit(0)) for n, x in sums.items()}).drop("_run", *(f"_{n}" for n in sums))
 
 
 def place(blocks: DataFrame, keys: list[str], order: str, length: str, granule: str, eos: str) -> DataFrame:
@@ -124,15 +153,13 @@ def place(blocks: DataFrame, keys: list[str], order: str, length: str, granule:
     granule less its length, and what would lie before 0 is cut. After that, positions
     add up. The ending page is cut at its granule.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     closes = (F.col(granule).isNotNull() | F.col(eos)).cast("int")
-    paged = blocks.withColumn("page", F.coalesce(F.sum(closes).over(before), F.lit(0))).withColumn("raw", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    paged = running(blocks, keys, [order], {"page": closes, "raw": F.col(length)})
     per_page = Window.partitionBy(*keys, "page")
     paged = paged.withColumns({"g": F.max(granule).over(per_page), "last": F.max(F.col(eos).cast("int")).over(per_page) == 1, "total": F.sum(length).over(per_page)})
-    whole = Window.partitionBy(*keys)
-    anchor = F.max(F.when((F.col("page") == 0) & ~F.col("last") & F.col("g").isNotNull(), F.col("g") - F.col("total"))).over(whole)
-    paged = paged.withColumn("base", F.coalesce(anchor, F.lit(0))).withColumn("start", F.col("raw") + F.col("base")).withColumn("end", F.col("start") + F.col(length))
+    first = F.when((F.col("page") == 0) & ~F.col("last") & F.col("g").isNotNull(), F.col("g") - F.col("total"))
+    paged = beside(paged, paged.groupBy(*keys).agg(F.max(first).alias("base")), keys)
+    paged = paged.withColumn("base", F.coalesce("base", F.lit(0))).withColumn("start", F.col("raw") + F.col("base")).withColumn("end", F.col("start") + F.col(length))
     stop = F.when(F.col("last") & F.col("g").isNotNull(), F.least(F.col("end"), F.col("g"))).otherwise(F.col("end"))
     out = paged.withColumn("from", F.greatest(F.col("start"), F.lit(0))).withColumn("kept", F.greatest(stop - F.col("from"), F.lit(0)))
     return out.select(*keys, order, "page", F.col("from").cast("long").alias("position"), (F.col("from") - F.col("start")).cast("long").alias("skip"), F.col("kept").cast("long").alias("kept"))
@@ -162,9 +189,8 @@ def lacing(packets: DataFrame, size: str) -> DataFrame:
 
 def reassemble(laces: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, packet, size): sizes of packets from a stream's lacing values."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.coalesce(F.sum((F.col("lace") < 255).cast("int")).over(w), F.lit(0))
-    return laces.withColumn("packet", ended).groupBy(key, "packet").agg(F.sum("lace").alias("size"))
+    ended = running(laces, [key], order, {"packet": (F.col("lace") < 255).cast("int")})
+    return ended.groupBy(key, "packet").agg(F.sum("lace").alias("size"))
 
 
 def gaps(pages: DataFrame, key: str, order: str, sequence: str) -> DataFrame:

@@ -39,10 +39,10 @@ def g2_forward_mdct(spark, sf):
     return G.bins(G.transform_blocks(blocks(spark, sf), "vec_id", "embedding"), "vec_id").withColumn("x", _r("x") + 0.0)
 
 
-@query(f"select vec_id, cast(n as int) as i, round(sum(x * {_COS}), 6) as y from (select vec_id, n as k, x from {SAMPLES} where n < 32), range(64) t(n) group by vec_id, n")
+@query(f"select vec_id, cast(i as int) as i, round(sum(x * cos(2 * pi() / 128 * (i + 0.5 + 32) * (n + 0.5))), 6) as y from {SAMPLES}, range(128) t(i) group by vec_id, i")
 def g1_imdct(spark, sf):
-    half = blocks(spark, sf).withColumn("s", F.slice("embedding", 1, 32))
-    return G.transform_blocks(half, "vec_id", "s", inverse=True).select("vec_id", F.posexplode("x").alias("i", "y")).withColumn("y", _r("y") + 0.0)
+    """Every whole embedding as a spectrum of 64 values."""
+    return G.transform_blocks(blocks(spark, sf), "vec_id", "embedding", inverse=True).select("vec_id", F.posexplode("x").alias("i", "y")).withColumn("y", _r("y") + 0.0)
 
 
 @query("select cast(i as int) as i, round(sin(pi() / 2 * pow(sin((i + 0.5) / 128 * pi() / 2), 2)), 6) as s from range(128) t(i)")
@@ -219,9 +219,9 @@ join (values (0, 0, 4), (8, 4, 12), (16, 12, 24), (32, 24, 48), (64, 48, 64)) p(
 def i11_region_mean(spark, sf):
     posts = [0, 8, 16, 32, 64]
     edges = [0, *((a + b) // 2 for a, b in zip(posts, posts[1:], strict=False)), 64]
-    regions = spark.createDataFrame([(x, lo, hi) for x, lo, hi in zip(posts, edges, edges[1:], strict=False)], "x int, lo int, hi int")
+    regions = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for x, lo, hi in zip(posts, edges, edges[1:], strict=False)))
     t = blocks(spark, sf).select("vec_id", F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 1000) % 128).cast("int")).alias("t"))
-    part = t.join(F.broadcast(regions)).select("vec_id", "x", F.slice("t", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("t"))
+    part = t.select("vec_id", "t", F.inline(regions)).select("vec_id", "x", F.slice("t", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("t"))
     mean = F.aggregate("t", F.lit(0), lambda a, v: a + v) / F.size("t")
     return part.select("vec_id", "x", F.least(F.round(mean, 0).cast("int"), F.array_min("t") + 2).alias("target"))
 

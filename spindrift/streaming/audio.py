@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spindrift.functions import audio, batch
+from spindrift.functions import audio, batch, mdct
 from spindrift.functions.codebook import Invalid
 from spindrift.sources.ogg import EOS, Page, read_packets
 
@@ -18,18 +18,6 @@ PCM = "source string, serial long, chan int, packet long, rate long, position lo
 STATE = "part binary, due long, packet long, heads array<binary>, before binary, raw long, base long, paged boolean, held array<long>, sizes array<long>, waiting binary"
 
 
-def overlapped(before: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Second half of the block before plus first half of this one, aligned at their centres."""
-    p, n = before.shape[1], block.shape[1]
-    out = np.zeros((len(block), p // 4 + n // 4))
-    shift = n // 4 - p // 4
-    tail = before[:, p // 2 : p // 2 + out.shape[1]]
-    out[:, : tail.shape[1]] += tail
-    lo, hi = max(0, -shift), min(out.shape[1], n - shift)
-    out[:, lo:hi] += block[:, lo + shift : hi + shift]
-    return out.astype(np.float32)
-
-
 @dataclass
 class Live:
     """A stream in progress. Blocks wait for the packet that has a granule position or
@@ -61,7 +49,7 @@ class Live:
         pcm = np.zeros((own[0].channels, 0), dtype=np.float32)
         if block is not None:
             if self.before is not None:
-                pcm = overlapped(self.before, block)
+                pcm = np.stack(mdct.overlapped(list(self.before), list(block))).astype(np.float32)
             self.before = block
         self.held.append((k, pcm))
         if granule is None and not eos:

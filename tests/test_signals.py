@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import mdct
 from spindrift.functions import scalar as S
 from spindrift.operators import floors
+from spindrift.operators import signals as G
 
 
 def basis(n):
@@ -65,3 +66,30 @@ def test_golden_values(spark):
     assert [got[i] for i in range(2, 9)] == [(0, 1), (0, 2), (2, 1), (0, 3), (3, 2), (2, 4), (4, 1)]
     line = spark.createDataFrame([("a", 0, 20), ("a", 64, 40 - 2), ("a", 64 + 64, 40)], "g string, x int, y int")
     assert floors.curve(line, ["g"], 140).count() == 140
+
+
+@pytest.mark.parametrize("run", [4, 1 << 16])
+def test_running_sums_by_runs(spark, run):
+    rows = [(k, i, i * 3 % 7) for k in ("a", None) for i in range(23)] + [("b", 5, 1)]
+    df = spark.createDataFrame(rows, "key string, i long, v long").repartition(3)
+    got = {(r.key, r.i): (r.n, r.total) for r in G.running(df, ["key"], ["i"], {"n": F.lit(1), "total": F.col("v")}, run).collect()}
+    for k, i, _ in rows:
+        before = [v for kk, j, v in rows if kk == k and j < i]
+        assert got[k, i] == (len(before), sum(before))
+
+
+def test_overlap_of_any_sizes(spark):
+    r = np.random.default_rng(8)
+    sizes = [64, 64, 256, 64, 256, 256, 1024, 64]
+    x = [r.normal(size=n) for n in sizes]
+    df = spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)], "s string, k long, x array<double>")
+    got = {row.k: row.samples for row in G.overlap_add(df, ["s"], "k", "x").collect()}
+    assert sorted(got) == list(range(1, len(sizes)))
+    for k, y in got.items():
+        p, n = sizes[k - 1], sizes[k]
+        shift, want = n // 4 - p // 4, []
+        for i in range(p // 4 + n // 4):
+            a = x[k - 1][p // 2 + i] if p // 2 + i < p else 0
+            b = x[k][i + shift] if 0 <= i + shift < n else 0
+            want.append(a + b)
+        assert np.allclose(y, want, atol=1e-12)
