@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spindrift.llm.common import slices
+
 BUCKETS, ORDERS, BLOCK_LANGS = 1 << 15, (1, 2, 3), 256
 UNKNOWN = "und"
 #: A model of one nameless language, for tables without labels: any text with a letter is in it.
@@ -97,7 +99,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", buckets
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], names=["lang", "bucket", "n"])
             sums.clear()
 
-        for b in batches:
+        for b in slices(batches):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
@@ -168,7 +170,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     schema = StructType([*docs.schema.fields, *StructType().add(names[0], "string").add(names[1], "double").fields])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             known = [k for k, t in enumerate(texts) if shared.value and t is not None and _LETTER.search(t)]
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))

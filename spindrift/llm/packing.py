@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import slices, written
 from spindrift.llm.tokenizing import encoder, vocabulary
 
 CAPACITY = 4096
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
     def run(batches):
         enc, end = encoder(vocabulary_path), np.array([end_id], dtype="<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), {}
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in names]
             for did, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = enc.ids(text) + end

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spindrift.llm.common import components, written
+from spindrift.llm.common import components, slices, written
 
 SHINGLE, BITS, CELL_LIMIT = 3, 2, 32
 _SLICE = 100_000
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
     schema = StructType([*StructType().add("doc_id", "long").add("fp", "long").fields, *(docs.schema[c] for c in carry)])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import slices, written
 
 #: Distinct segments of one part that one task sorts; larger parts are split by windows.
 GROUP_LIMIT = 4096
@@ -278,7 +278,7 @@ def _find_segments(length: int, gram: int):
     half, low = length // 2, 1 << 63
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in schema]
             for did, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode()
@@ -394,7 +394,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _cut():
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in schema]
             for did, text, spans in zip(*(batch.column(c).to_pylist() for c in ("did", "text", "spans")), strict=True):
                 data = (text or "").encode()

@@ -9,8 +9,8 @@ from functools import lru_cache
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Pieces a worker keeps; about 200 bytes each.
-CACHE = 400_000
+#: Words and pieces of words that a worker keeps; about 200 bytes each.
+WORDS, PIECES = 250_000, 50_000
 # What the vocabulary's pre-tokenizer makes of lower-case Latin-1 text without odd
 # white space: the same alternatives, with Latin-1's letters and numbers spelled out.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0ca-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -52,7 +52,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.ids(word)
-        if len(self) < CACHE:
+        if len(self) < WORDS:
             self[word] = ids
         return ids
 
@@ -81,7 +81,7 @@ class Encoder(dict):
         # one piece is one run of merges: what is left to do is to spell its bytes
         spelt = piece.encode().decode("latin-1").translate(_spelling())
         ids = np.array([x.id for x in self.tokenizer.model.tokenize(spelt)], dtype="<u4").tobytes()
-        if len(self) < CACHE:
+        if len(self) < PIECES:
             self[piece] = ids
         return ids
 

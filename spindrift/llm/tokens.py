@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import simple8b
-from spindrift.llm.common import new_path, written
+from spindrift.llm.common import new_path, slices, written
 from spindrift.llm.tokenizing import encoder, vocabulary
 
 #: Ids of a block.
@@ -67,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             first += sum(sizes)
             return out
 
-        for b in batches:
+        for b in slices(batches):
             for did, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x, done = np.concatenate((np.frombuffer(enc.ids(text), "<u4"), end)), 0
                 while done < len(x):

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_decontam import brute as brute_hits
 from test_secrets import base as base_spans
 from test_simhash import least_reachable, slow_fingerprint
@@ -91,3 +92,34 @@ def test_language_without_a_model(spark, lang):
     data = [(held, "ein Fuchs", lang, "s", 1), (held, "12 34", lang, "s", 2), (held, None, lang, "s", 3), (None, "é", None, "s", 4)]
     got = dict(pipeline.STAGES)["language ID"](spark, spark.createDataFrame(data, docs.schema), SF)
     assert sorted(r.n_chars for r in got.collect()) == [1, 4]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use inside may be names of columns, and repeated rows are judged alike."""
+    extra = ["lang_pred", "score", "kept", "kept_id", "text_key", "hit", "spans", "fp", "row", "uid", "group", "Score_"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    docs = docs.unionByName(docs.where("doc_id < 9"))
+    for i, name in enumerate(extra):
+        docs = docs.withColumn(name, F.lit(i))
+    plain = docs.drop(*extra)
+    cols = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        got, want = stage(spark, docs, SF), stage(spark, plain, SF)
+        assert got.columns == cols, name
+        assert sorted(map(str, got.drop(*extra).collect())) == sorted(map(str, want.collect())), name
+        assert all(r[x] == i for r in got.select(*extra).distinct().collect() for i, x in enumerate(extra)), name
+    packed = dict(pipeline.STAGES)["best-fit packing"]
+    rows = lambda d: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed(spark, d, SF).collect())
+    assert rows(docs) == rows(plain)
+
+
+def test_stages_take_long_texts(spark):
+    """A text of two million characters, between two short ones, through all stages."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    long_ = " ".join(f"word{i % 5003} of{i % 71}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, "a short text here", "en", "s", 17), (2, long_, "en", "s", len(long_)), (3, None, None, None, None), (4, "", "en", "s", 0)], schema)
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert {r.doc_id for r in docs.collect()} == {1, 2}
+    packed = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {1, 2} and max(r.piece for r in packed) > 50
