@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Words and pieces of words that a worker keeps; about 200 bytes each.
-WORDS, PIECES = 250_000, 50_000
+WORDS, PIECES = 400_000, 50_000
 # What the vocabulary's pre-tokenizer makes of lower-case Latin-1 text without odd
 # white space: the same alternatives, with Latin-1's letters and numbers spelled out.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0ca-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -70,17 +72,29 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norm = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers") or []]
-        self.words, self.plain = _Words(self.whole), _Words(lambda word: b"".join(map(self.__getitem__, _PIECES.findall(word))))
+        self.words, self.plain = _Words(self.whole), _Words(self.plain_word)
         self.known = pre[0].get("pattern") == {"Regex": _LATIN} and pre[0].get("invert") and norm == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor")
 
+    def spelt(self, piece: str) -> bytes:
+        """Ids of one piece, which is one run of merges: what is left to do is to spell its bytes."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(_spelling())
+        ids = array("I", [x.id for x in self.model.tokenize(piece)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def plain_word(self, word: str) -> bytes:
+        """Ids of a word of plain lower-case text; one of letters alone is one piece."""
+        return self.spelt(word) if word.isalpha() else b"".join(map(self.__getitem__, _PIECES.findall(word)))
+
     def __missing__(self, piece: str) -> bytes:
-        # one piece is one run of merges: what is left to do is to spell its bytes
-        spelt = piece.encode().decode("latin-1").translate(_spelling())
-        ids = np.array([x.id for x in self.tokenizer.model.tokenize(spelt)], dtype="<u4").tobytes()
+        ids = self.spelt(piece)
         if len(self) < PIECES:
             self[piece] = ids
         return ids
