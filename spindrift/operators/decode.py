@@ -71,9 +71,8 @@ def decode(packets: DataFrame, strict: bool = False) -> DataFrame:
     anchor the first page and cut the last."""
     blocks = decode_blocks(packets, strict)
     keys = ["source", "link", "serial", "chan"]
-    pcm = signals.overlap_add(blocks.where("samples is not null"), keys, "packet", "samples")
-    held = blocks.select(*keys, "packet", "granule", "eos", "rate").join(pcm, [*keys, "packet"], "left").withColumn("n", F.coalesce(F.size("samples"), F.lit(0)))
-    held = held.withColumn("n", F.greatest("n", F.lit(0)))
-    placed = signals.place(held, keys, "packet", "n", "granule", "eos")
-    out = held.join(placed, [*keys, "packet"]).where("kept > 0")
+    # one row goes through all of it, so that no packet is decoded twice
+    pcm = signals.overlap_add(blocks, keys, "packet", "samples", ("granule", "eos", "rate"), keep=True)
+    held = pcm.withColumn("n", F.coalesce(F.greatest(F.size("samples"), F.lit(0)), F.lit(0)))
+    out = signals.place(held, keys, "packet", "n", "granule", "eos", ("rate", "samples")).where("kept > 0")
     return out.select(*keys, "packet", "rate", "position", F.slice("samples", (F.col("skip") + 1).cast("int"), F.col("kept").cast("int")).cast("array<float>").alias("samples"))

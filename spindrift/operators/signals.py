@@ -101,20 +101,26 @@ def floor_target(mask_: Column, multiplier: int = 2) -> Column:
     return F.greatest(F.lit(0), F.least(S.floor_range(F.lit(multiplier)) - 1, t)).cast("int")
 
 
-def overlap_add(blocks: DataFrame, keys: list[str], order: str, samples: str) -> DataFrame:
-    """(keys, order, samples): the second half of the block before plus the first half of
-    this one, aligned at their centres; a stream's first block gives nothing."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    both = blocks.select(*keys, order, F.lag(samples).over(w).alias("prev"), F.col(samples).alias("cur")).where("prev is not null")
+def overlap_add(blocks: DataFrame, keys: list[str], order: str, samples: str, carry: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """(keys, order, carry, samples): the second half of the block before plus the first half
+    of this one, aligned at their centres; a stream's first block gives nothing. Null blocks
+    leave the overlap as it was. With keep, rows that give nothing stay, with null samples."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    both = blocks.select(*keys, order, *carry, F.last(samples, ignorenulls=True).over(w).alias("prev"), F.col(samples).alias("cur"))
+    if not keep:
+        both = both.where("prev is not null and cur is not null")
+    keys = [*keys, *carry]
     n = len(keys) + 1
     schema = StructType([*both.schema.fields[:n], StructField("samples", ArrayType(DoubleType()))])
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                out = mdct.overlapped(*(rows(b.column(n + k)) for k in (0, 1)))
-                ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))], names=schema.names)
+                full = [x.is_valid and y.is_valid for x, y in zip(b.column(n), b.column(n + 1), strict=True)]
+                own = b.filter(pa.array(full))
+                out = mdct.overlapped(*(rows(own.column(n + k)) for k in (0, 1))) if own.num_rows else []
+                found = iter(out)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([next(found) if f else None for f in full], pa.list_(pa.float64()))], names=schema.names)
 
     return both.mapInArrow(run, schema)
 
@@ -145,24 +151,27 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     return out.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(x).over(own), F.lit(0)) for n, x in sums.items()}).drop("_run", *(f"_{n}" for n in sums))
 
 
-def place(blocks: DataFrame, keys: list[str], order: str, length: str, granule: str, eos: str) -> DataFrame:
-    """Position, samples cut in front (skip) and samples kept of each block of a stream.
+def place(blocks: DataFrame, keys: list[str], order: str, length: str, granule: str, eos: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Position, samples cut in front (skip) and samples kept of each block of a stream,
+    and its columns ``carry``.
 
     Blocks wait for the packet that has a granule position or ends the stream. The first
     such page, unless it also ends the stream, anchors the time axis: it starts at its
     granule less its length, and what would lie before 0 is cut. After that, positions
     add up. The ending page is cut at its granule.
     """
+    # windows over the rows that are here: a join with sums of runs would make them again
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     closes = (F.col(granule).isNotNull() | F.col(eos)).cast("int")
-    paged = running(blocks, keys, [order], {"page": closes, "raw": F.col(length)})
+    paged = blocks.withColumn("page", F.coalesce(F.sum(closes).over(before), F.lit(0))).withColumn("raw", F.coalesce(F.sum(length).over(before), F.lit(0)))
     per_page = Window.partitionBy(*keys, "page")
     paged = paged.withColumns({"g": F.max(granule).over(per_page), "last": F.max(F.col(eos).cast("int")).over(per_page) == 1, "total": F.sum(length).over(per_page)})
     first = F.when((F.col("page") == 0) & ~F.col("last") & F.col("g").isNotNull(), F.col("g") - F.col("total"))
-    paged = beside(paged, paged.groupBy(*keys).agg(F.max(first).alias("base")), keys)
+    paged = paged.withColumn("base", F.max(first).over(Window.partitionBy(*keys)))
     paged = paged.withColumn("base", F.coalesce("base", F.lit(0))).withColumn("start", F.col("raw") + F.col("base")).withColumn("end", F.col("start") + F.col(length))
     stop = F.when(F.col("last") & F.col("g").isNotNull(), F.least(F.col("end"), F.col("g"))).otherwise(F.col("end"))
     out = paged.withColumn("from", F.greatest(F.col("start"), F.lit(0))).withColumn("kept", F.greatest(stop - F.col("from"), F.lit(0)))
-    return out.select(*keys, order, "page", F.col("from").cast("long").alias("position"), (F.col("from") - F.col("start")).cast("long").alias("skip"), F.col("kept").cast("long").alias("kept"))
+    return out.select(*keys, order, *carry, "page", F.col("from").cast("long").alias("position"), (F.col("from") - F.col("start")).cast("long").alias("skip"), F.col("kept").cast("long").alias("kept"))
 
 
 def segment_energy(signal: DataFrame, key: str, segment: int = 64) -> DataFrame:
