@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from spindrift.llm import decontam, langid, packing, secrets, simhash
 from spindrift.llm.common import table, written
 
+#: Bits of a bitmap, as bitmap_construct_agg makes them.
+_BITMAP = 1 << 15
+
 
 def _fresh(docs: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of docs has it, whatever its case."""
@@ -41,20 +44,45 @@ def _text_key() -> Column:
     return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
+def _bit(doc_id: Column, parts: int) -> tuple[Column, Column]:
+    """An id's part and place among ``parts`` bitmaps."""
+    h = F.pmod(F.xxhash64(doc_id), F.lit(parts * _BITMAP))
+    return F.floor(h / _BITMAP), h % _BITMAP
+
+
+def _split(docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose doc_id may be among the n ``ids(doc_id)``, at most one in 16
+    of them for nothing, and rows whose id is not among them, or null. The ids go along as
+    bitmaps, two bytes an id, so a text isn't shuffled to learn it unless those are too large
+    to broadcast; each part reads docs once."""
+    part, bits = _fresh(docs, "part", "bits")
+    parts = max(1, -(-16 * n // _BITMAP))
+    own, place = _bit(F.col("doc_id"), parts)
+    maps = written(ids.select(own.alias(part), place.alias("place")).groupBy(part).agg(F.bitmap_construct_agg("place").alias(bits)), "bitmaps")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.col("doc_id").isNotNull() & (F.call_function("getbit", byte, (place % 8).cast("int")) == 1), F.lit(False))
+    both = docs.withColumn(part, own).join(maps, part, "left")
+    return both.where(hit).select(*docs.columns), both.where(~hit).select(*docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, one row of
     it where rows repeat or texts of the group share that id, and every document whose
     id is null. Texts of other groups with the same id are documents of their own.
     Groups are those of op4's contract, so copies beyond 2 of 64 bits stay (see README).
-    Columns of any other name pass through."""
+    Columns of any other name pass through. Rows that are alone in their group stay where
+    they are; only the others are joined with their group's decision."""
     key, kept, kept_key = _fresh(docs, "text_key", "kept_id", "kept_key")
-    keyed = docs.withColumn(key, _text_key())
-    groups = simhash.simhash_groups(keyed.select("doc_id", "text", key), carry=(key,)).where("doc_id is not null")
-    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", key)).alias("first"))
-    first = first.select(F.col("first.doc_id").alias(kept), F.col(f"first.{key}").alias(kept_key))
-    unknown = docs.where("doc_id is null")
-    single = keyed.join(first, (F.col("doc_id") == F.col(kept)) & (F.col(key) == F.col(kept_key))).drop(kept, kept_key)
-    return single.dropDuplicates(["doc_id", key]).drop(key).unionByName(unknown)
+    groups = simhash.simhash_groups(docs.select("doc_id", "text", _text_key().alias(key)), carry=(key,)).where("doc_id is not null")
+    groups = written(groups.select("doc_id", key, "group"), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", key)).alias("first"), F.count("*").alias("n"))
+    first = written(first.select("group", F.col("first.doc_id").alias(kept), F.col(f"first.{key}").alias(kept_key), "n"), "first")
+    several = first.where("n > 1")
+    n = several.agg(F.sum("n")).first()[0] or 0
+    some, alone = _split(docs, groups.join(several.select("group"), "group").select("doc_id"), n)
+    first = first.select(kept, kept_key)
+    single = some.withColumn(key, _text_key()).join(first, (F.col("doc_id") == F.col(kept)) & (F.col(key) == F.col(kept_key))).drop(kept, kept_key)
+    return single.dropDuplicates(["doc_id", key]).drop(key).unionByName(alone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The stages against brute force, each on its own input, and the whole."""
 
+import random
 import zlib
 
 import numpy as np
@@ -123,3 +124,35 @@ def test_stages_take_long_texts(spark):
         assert {r.doc_id for r in docs.collect()} == {1, 2}
     packed = pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == {1, 2} and max(r.piece for r in packed) > 50
+
+
+def test_near_dedup_moves_few_texts(spark):
+    """Only texts with copies are shuffled; ids that share a bit with one of theirs still stay."""
+    r = random.Random(5)
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    texts = [" ".join("%016x" % r.getrandbits(64) for _ in range(1200)) for _ in range(300)]
+    data = [*enumerate(texts), *((1000 + i, texts[i]) for i in range(9)), (7, texts[7]), (8, texts[50]), (None, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(data)], schema).repartition(3).cache()
+    docs.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.range(8, numPartitions=2).repartition(3).count()
+    before = _stages(store)
+    got = dict(pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF).select("doc_id", "text", "n_chars").collect()
+    # text 50 is kept as document 8, the smallest id of its group, and not as 50
+    want = [(i, t) for i, t in enumerate(texts) if i != 50] + [(8, texts[50]), (None, texts[3])]
+    assert sorted(((x.doc_id or -1, x.text) for x in got)) == sorted((i or -1, t) for i, t in want)
+    moved = sum(v for k, v in _stages(store).items() if k not in before)
+    assert moved < 0.3 * sum(len(t) for _, t in data)
+    docs.unpersist()
+
+
+def _stages(store):
+    """Bytes that each stage so far has shuffled."""
+    out, k, gap = {}, 0, 0
+    while gap < 50:
+        try:
+            out[k], gap = store.lastStageAttempt(k).shuffleWriteBytes(), 0
+        except Exception:
+            gap += 1
+        k += 1
+    return out
