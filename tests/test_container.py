@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.functions.bits import BitReader, BitWriter, EndOfPacket, ilog
 from spindrift.functions.codebook import Codebook, Invalid, Lookup, codewords, lookup1, unpack_float
+from spindrift.functions.scalar import lookup1_values
 from spindrift.sources import ogg
 
 SIZES = [5, 0, 255, 254, 765, 256, 2, 255 * 255 - 1, 255 * 256, 100_000, 0, 77]
@@ -109,6 +111,13 @@ def test_damage():
         list(ogg.read_packets(ogg.read_pages(bytes(x))))
 
 
+def test_lookup_sizes_have_no_bound(spark):
+    """The query's SQL searches up to 2099 only; the function goes on."""
+    cases = [(n, d) for d in (1, 2, 3, 4) for r in (1, 11, 2099, 2100, 19999) for n in (r**d - 1, r**d, r**d + 1) if n < 1 << 32]
+    got = spark.createDataFrame(cases, "n long, d int").select("n", "d", lookup1_values(F.col("n"), F.col("d")).alias("r")).collect()
+    assert all(x.r**x.d <= x.n < (x.r + 1) ** x.d for x in got)
+
+
 def test_frames(spark, tmp_path):
     rows = [("f", 5, k, k * 3, False, d) for k, d in enumerate(data_of(SIZES))] + [("f", 6, 0, 1, False, b"other")]
     df = spark.createDataFrame(rows, "source string, serial long, packet long, granule long, flush boolean, data binary")
