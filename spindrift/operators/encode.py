@@ -67,4 +67,4 @@ def ogg_pages(streams: DataFrame, config: E.Config) -> DataFrame:
 
 def ogg_files(streams: DataFrame, config: E.Config) -> DataFrame:
     """(source, content): a whole file per stream. files.write_ogg() writes larger ones."""
-    return ogg.joined(ogg_pages(streams, config))
+    return ogg.files_of(encode(streams, config))

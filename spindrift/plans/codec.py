@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.encoder import Config
@@ -11,14 +13,33 @@ from spindrift.plans.registry import SIGNAL, load, query, signal
 from spindrift.sources import ogg
 
 
+def _side_by_side(df: DataFrame, column: str, size: int = 1 << 25) -> DataFrame:
+    """The same rows, each run of that many bytes sorted by a column, so that files which
+    they are written to can pack what repeats. Nothing is dealt, and no more than a run held."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.nbytes
+            if n >= size:
+                yield from pa.Table.from_batches(held).sort_by(column).to_batches(10_000)
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).sort_by(column).to_batches(10_000)
+
+    return df.mapInArrow(run, df.schema)
+
+
 @query("select cast(doc_id as varchar) as source, unnest(range(len(p))) as packet, sha256(unnest(p)) as digest from (select doc_id, string_split(text, ' ') as p from documents)")
 def a3_ogg_round_trip(spark, sf):
     """A stream for each document, its words as packets: to pages, to files, and back."""
-    words = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit(1).cast("long").alias("serial"), F.posexplode(F.split("text", " ", -1)).alias("packet", "word"))
+    # a text is dealt once, its words and their pages stay where it is
+    texts = load(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    words = texts.select(F.col("doc_id").cast("string").alias("source"), F.lit(1).cast("long").alias("serial"), F.posexplode(F.split("text", " ", -1)).alias("packet", "word"))
     rows = words.select("source", "serial", F.col("packet").cast("long").alias("packet"), F.lit(0).cast("long").alias("granule"), F.lit(False).alias("flush"), F.encode("word", "utf-8").alias("data"))
-    files = ogg.joined(ogg.paginate(rows, 1000))
-    found = ogg.packets_of(ogg.pages_of(files, strict=True), strict=True)
-    return found.select("source", "packet", F.sha2("data", 256).alias("digest"))
+    found = ogg.packets_in(ogg.files_of(rows, 1000, placed=True), strict=True)
+    return _side_by_side(found.select("source", "packet", "data"), "data").select("source", "packet", F.sha2("data", 256).alias("digest"))
 
 
 def _streams(spark, sf):
@@ -31,5 +52,5 @@ def _streams(spark, sf):
 def g11_decode_length(spark, sf):
     """What is encoded decodes to its own length, without gaps."""
     files = E.ogg_files(_streams(spark, sf), Config(8000, 1, 5.0))
-    pcm = D.decode(ogg.packets_of(ogg.pages_of(files, strict=True), strict=True), strict=True)
+    pcm = D.decode(ogg.packets_in(files, strict=True), strict=True)
     return pcm.groupBy("source", "chan").agg(F.min("position").cast("int").alias("first"), F.sum(F.size("samples")).alias("samples"))

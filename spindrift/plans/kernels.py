@@ -222,7 +222,7 @@ def a11_links(spark, sf):
     coded = E.ogg_files(_streams(spark, sf), encoder.Config(8000, 1, 5.0))
     other = b"".join(p.to_bytes() for p in ogg.write_pages([(b"other", 0, True), (b"data", 5, False)], 55))
     both = coded.withColumn("content", F.concat(F.lit(other), "content"))
-    return files.links(ogg.packets_of(ogg.pages_of(both, strict=True), strict=True), alike=True).select("source", "link", "serial")
+    return files.links(ogg.packets_in(both, strict=True), alike=True).select("source", "link", "serial")
 
 
 @query("select distinct event_type as source, 1 as channels, 8000::bigint as rate, 'spindrift' as vendor from events")

@@ -264,9 +264,23 @@ def _pages(files: DataFrame, strict: bool, opened: Callable[[str], Buffer] | Non
     return files.mapInArrow(run, PAGES)
 
 
-def _streamed(df: DataFrame, keys: list[str], order: str, columns: list[str], schema: str, each: Callable[[tuple, Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+def _held(rows: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows, of 1000 or 16 MiB at most unless one row has more."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) >= 1000 or size > 1 << 24:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+
+
+def _streamed(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, each: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], placed: bool = False) -> DataFrame:
     """Rows that each(key, rows in order) gives for every group: a group is one task's,
-    sorted by Spark, and read and written row by row, so that none is held as a whole."""
+    sorted by Spark, and read and written row by row, so that none is held as a whole.
+    placed: the rows of a group follow one another in order already, and aren't dealt."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def rows_of(batches):
@@ -275,19 +289,11 @@ def _streamed(df: DataFrame, keys: list[str], order: str, columns: list[str], sc
                 yield from zip(*(c.to_pylist() for c in b.slice(at, 1000).columns), strict=True)
 
     def run(batches):
-        n, held, size = len(keys), [], 0
-        for key, rows in groupby(rows_of(batches), key=lambda r: r[:n]):
-            for row in each(key, (r[n:] for r in rows)):
-                held.append(row)
-                size += sum(len(x) for x in row if isinstance(x, bytes))
-                if len(held) >= 1000 or size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+        n = len(keys)
+        yield from _held((row for key, rows in groupby(rows_of(batches), key=lambda r: r[:n]) for row in each(key, (r[n:] for r in rows))), arrow)
 
-    dealt = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, order)
-    return dealt.mapInArrow(run, schema)
+    own = df.select(*keys, *columns)
+    return (own if placed else own.repartition(*keys).sortWithinPartitions(*keys, *order)).mapInArrow(run, schema)
 
 
 def packets_of(pages: DataFrame, strict: bool = False) -> DataFrame:
@@ -301,7 +307,29 @@ def packets_of(pages: DataFrame, strict: bool = False) -> DataFrame:
             yield (*key, k, p.granule, p.bos, p.eos, p.data, counts["lost"] - lost, p.page)
             lost = counts["lost"]
 
-    return _streamed(pages, ["source", "serial"], "page", ["page", "flags", "granule", "sequence", "lacing", "body"], PACKETS, each)
+    return _streamed(pages, ["source", "serial"], ["page"], ["page", "flags", "granule", "sequence", "lacing", "body"], PACKETS, each)
+
+
+def packets_in(files: DataFrame, strict: bool = False) -> DataFrame:
+    """PACKETS of (source, content), each row a file of its own: packets_of(pages_of()) of
+    whole files, whose pages are in order where they are read, so that nothing is dealt."""
+    arrow = to_arrow_schema(StructType.fromDDL(PACKETS))
+
+    def rows_of(source, content):
+        counts: dict[int, dict[str, int]] = {}
+        seen: dict[int, list[int]] = {}  # packets and losses so far, by stream
+        parts, due = {}, {}
+        for place, page in enumerate(read_pages(content, strict)):
+            page.place = place
+            own, so_far = counts.setdefault(page.serial, {}), seen.setdefault(page.serial, [0, 0])
+            for p in read_packets((page,), strict, own, parts, due):
+                yield source, p.serial, so_far[0], p.granule, p.bos, p.eos, p.data, own["lost"] - so_far[1], p.page
+                so_far[:] = so_far[0] + 1, own["lost"]
+
+    def run(batches):
+        yield from _held((row for b in batches for k in range(b.num_rows) for row in rows_of(b.column(0)[k].as_py(), b.column(1)[k].as_py() or b"")), arrow)
+
+    return files.select("source", "content").mapInArrow(run, PACKETS)
 
 
 def checksums(df: DataFrame, key: str, data: str) -> DataFrame:
@@ -323,12 +351,25 @@ def paginate(packets: DataFrame, target: int = 4096) -> DataFrame:
         for k, p in enumerate(write_pages(((data, granule, flush) for _, granule, flush, data in rows), key[1], target)):
             yield (*key, k, p.to_bytes())
 
-    return _streamed(packets, ["source", "serial"], "packet", ["packet", "granule", "flush", "data"], "source string, serial long, page long, content binary", each)
+    return _streamed(packets, ["source", "serial"], ["packet"], ["packet", "granule", "flush", "data"], "source string, serial long, page long, content binary", each)
 
 
 def joined(pages: DataFrame) -> DataFrame:
     """(source, content) of (source, page, content): the pages one after another."""
-    return _streamed(pages, ["source"], "page", ["page", "content"], "source string, content binary", lambda key, rows: [(*key, b"".join(content for _, content in rows))])
+    return _streamed(pages, ["source"], ["page"], ["page", "content"], "source string, content binary", lambda key, rows: [(*key, b"".join(content for _, content in rows))])
+
+
+def files_of(packets: DataFrame, target: int = 4096, placed: bool = False) -> DataFrame:
+    """(source, content) of (source, serial, packet, granule, flush, data): joined(paginate()),
+    dealt once. placed: the packets of a source follow one another by stream and number, in
+    one partition, as when they come from one row; they aren't dealt at all."""
+
+    def each(key, rows):
+        pages = [(k, serial, p.to_bytes()) for serial, own in groupby(rows, key=lambda r: r[0]) for k, p in enumerate(write_pages(((data, granule, flush) for _, _, granule, flush, data in own), serial, target))]
+        pages.sort(key=lambda x: x[:2])  # the first pages of all streams lead
+        yield *key, b"".join(content for _, _, content in pages)
+
+    return _streamed(packets, ["source"], ["serial", "packet"], ["serial", "packet", "granule", "flush", "data"], "source string, content binary", each, placed)
 
 
 def xiph_lace(headers: list[bytes]) -> bytes:

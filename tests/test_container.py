@@ -1,4 +1,5 @@
 import random
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,42 @@ def test_frames(spark, tmp_path):
     assert sorted((r.serial, r.packet, bytes(r.data)) for r in back) == sorted((r[1], r[2], r[5]) for r in rows)
 
 
+def test_whole_files_are_dealt_once(spark):
+    """Files of packets and packets of files equal the plain way by pages, with one exchange or none."""
+    rows = [("f", 6 - j, k, k * 3, k == 2, d) for j in range(2) for k, d in enumerate(data_of(SIZES))] + [("e", 5, k, k, False, bytes(k)) for k in range(40)]
+    order = "source string, serial long, packet long, granule long, flush boolean, data binary"
+    shuffled, sorted_ = (spark.createDataFrame(x, order).coalesce(1) for x in (random.Random(3).sample(rows, len(rows)), sorted(rows)))
+    pages = ogg.pages_of(ogg.joined(ogg.paginate(sorted_, 1000).orderBy("serial")), strict=True)
+    want = sorted(map(str, ogg.packets_of(pages, strict=True).drop("page").collect()))
+    for df, placed in ((shuffled, False), (sorted_, True)):
+        found = ogg.packets_in(ogg.files_of(df, 1000, placed), strict=True)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == (not placed)
+        assert sorted(map(str, found.drop("page").collect())) == want
+
+
+def test_damaged_files_give_the_same_packets_without_pages(spark):
+    r, files = random.Random(5), []
+    for i in range(60):
+        turns = [p for pair in zip(*(list(ogg.write_pages([(r.randbytes(r.randrange(700)), k, False) for k in range(12)], n, 500)) for n in (8, 9)), strict=False) for p in pair]
+        raw = bytearray(b"".join(p.to_bytes() for p in turns if r.random() < 0.9))
+        raw[r.randrange(len(raw))] ^= 1 << r.randrange(8)
+        files.append((str(i), raw))
+    df = spark.createDataFrame([*files, ("none", None)], "source string, content binary")
+    want = ogg.packets_of(ogg.pages_of(df)).collect()
+    assert sum(x.lost for x in want) > 9 and sorted(map(str, want)) == sorted(map(str, ogg.packets_in(df).collect()))
+
+
+def test_a_text_is_dealt_once(spark):
+    from spindrift.plans.codec import a3_ogg_round_trip
+
+    df = a3_ogg_round_trip(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan
+    parts = df.select(F.spark_partition_id().alias("task"), "digest").collect()
+    runs = [k for k, _ in groupby((x.task, x.digest) for x in parts)]
+    assert len(runs) == len(set(runs)) < len(parts) / 2  # equal words side by side
+
+
 def test_checksums_equal_their_definition(spark):
     def slow(data):
         c = 0
