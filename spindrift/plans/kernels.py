@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from spindrift.functions import audio, codebook, encoder, mdct
 from spindrift.functions import scalar as S
+from spindrift.functions.arrow import slices
 from spindrift.functions.bits import BitReader, BitWriter
 from spindrift.operators import encode as E
 from spindrift.operators import files
@@ -27,12 +28,11 @@ def _rows(df: DataFrame, schema: str, each: Callable[..., Iterable[tuple]]) -> D
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                out = [r for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in each(*row)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+        for b in slices(batches):
+            out = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in each(*row)]
+            del b
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

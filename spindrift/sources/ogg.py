@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from spindrift.functions.arrow import slices
+
 CONTINUED, BOS, EOS = 1, 2, 4
 NONE = -1  # granule position of a page on which no packet ends
 PAGES = "source string, page long, offset long, flags int, granule long, serial long, sequence long, lacing array<int>, body binary, skipped long, bad long"
@@ -248,7 +250,7 @@ def _pages(files: DataFrame, strict: bool, opened: Callable[[str], Buffer] | Non
     types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sources = b.column(0).to_pylist()
             for source, content in zip(sources, map(opened, sources) if opened else b.column(1).to_pylist(), strict=True):
                 counts, rows, before = {}, [], {"skipped": 0, "bad": 0}
@@ -337,9 +339,10 @@ def checksums(df: DataFrame, key: str, data: str) -> DataFrame:
     schema = StructType([df.schema[key], *StructType().add("crc", "long").fields])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [None if x is None else crc(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=[key, "crc"])
+            del b
 
     return df.select(key, data).mapInArrow(run, schema)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spindrift.functions import audio, batch, encoder, synthetic
@@ -88,3 +89,29 @@ def test_lattices_reach_every_value():
     assert encoder.CLASS_LIMITS == sorted(encoder.CLASS_LIMITS) and encoder.CLASS_LIMITS[-1] >= 2 * encoder.MAX_VALUE
     for dims, top, _ in encoder.LATTICES:
         assert (2 * top + 1) ** dims <= encoder.ENTRIES and encoder.PARTITION % dims == 0
+
+
+def test_damage_holds_few_texts_at_once(spark, monkeypatch):
+    """Large batches are taken in parts: few bytes leave at once, and no batch outlives its end."""
+    from spindrift.operators import synthetic as operators
+
+    texts = [bytes([k % 251]) * n for k, n in enumerate([1 << 20] * 20 + [9 << 20] + [0, 5] * 600)]
+    taken, df = {}, spark.createDataFrame([(1, b"")], "source long, content binary")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: taken.update(run=run) or self)
+    operators.damaged(df)
+    monkeypatch.undo()
+    left = []
+
+    def batches():
+        for at in range(0, len(texts), 700):
+            left.append(pa.total_allocated_bytes())
+            own = texts[at : at + 700]
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(own)), pa.int64()), pa.array(own, pa.binary())], names=["source", "content"])
+
+    got, before = [], pa.total_allocated_bytes()
+    for b in taken["run"](batches()):
+        assert b.num_rows <= 500 and (b.num_rows == 1 or b.nbytes < 5 << 20)
+        got += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+        del b
+    assert [(k, *synthetic.damaged(d, 0x9E3779B97F4A7C15 ^ k)) for k, d in enumerate(texts)] == got
+    assert max(left) - before < 1 << 20
