@@ -23,8 +23,9 @@ def _side_by_side(df: DataFrame, column: str, size: int = 1 << 25) -> DataFrame:
             held.append(b)
             n += b.nbytes
             if n >= size:
-                yield from pa.Table.from_batches(held).sort_by(column).to_batches(10_000)
-                held, n = [], 0
+                out, held, n = pa.Table.from_batches(held).sort_by(column), [], 0
+                yield from out.to_batches(10_000)
+                del out
         if held:
             yield from pa.Table.from_batches(held).sort_by(column).to_batches(10_000)
 
